@@ -28,7 +28,7 @@ NEVER = np.iinfo(np.int64).max
 #: Characters of text that are cut into pieces at a time.
 BLOCK_CHARS = 2_000_000
 #: Distinct pieces, and words of them, that a worker remembers.
-KEEP_PIECES, KEEP_WORDS = 500_000, 500_000
+KEEP_PIECES, KEEP_WORDS = 1_200_000, 800_000
 
 
 @lru_cache(1)
@@ -151,10 +151,10 @@ class Remembered:
         self.later: dict[str, bytes | None] = {}
 
     def learn(self, firsts: set[str], laters: set[str]) -> None:
+        """Room is made only before a block, so that all of a block's pieces are there."""
         if len(self.first) + len(self.later) > KEEP_PIECES:
             self.first.clear()
             self.later.clear()
-            return
         firsts = [w for w in firsts if w not in self.first]
         fit = [w for w in laters if w not in self.later]
         alone = [w for w in fit if not self.lead or w and not w[0].isspace()]
@@ -168,10 +168,10 @@ class Remembered:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         for part in blocks([len(t) for t in texts], BLOCK_CHARS):
             cut = [t.split(" ") for t in texts[part]]
-            firsts, laters = {p[0] for p in cut}, {w for p in cut for w in p[1:]}
+            firsts, laters = {p[0] for p in cut}, set()
+            for p in cut:
+                laters.update(p)
             self.learn(firsts, laters)
-            if not (self.first.keys() >= firsts and self.later.keys() >= laters):  # it has just been emptied
-                self.learn(firsts, laters)
             first, later = self.first, self.later
             for text, p in zip(texts[part], cut, strict=True):
                 ids = [later[w] for w in p[1:]]

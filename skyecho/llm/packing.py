@@ -40,7 +40,7 @@ from skyecho.llm.common import blocks, written
 SHARD_PIECES = 16_384
 GROUP_COUNTS = (12, 32)
 #: Words that a worker remembers.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 800_000
 #: A word of letters that stay as they are when composed, and ASCII signs that start no special token or contraction.
 SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|()]*)")
 
