@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyecho.llm import ann, bpe, langid, lzprint, packing, quality, warc
+from skyecho.llm import ann, bpe, langid, lzprint, ngramjoin, packing, pii, quality, warc
 from skyecho.llm.common import held_out, scratch
 
 
@@ -51,7 +51,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality, op3_warc, op4_fingerprint, op5_packing, op7_ann, op8_bpe)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.apply(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality, op3_warc, op4_fingerprint, op5_packing, op7_ann, op8_bpe, op9_pii, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
