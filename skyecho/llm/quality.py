@@ -188,3 +188,22 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out)], [*keep, "score"])
 
     return kept.mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, model: Model | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text scores ``threshold`` or more; without a model all."""
+    if model is None:
+        return df
+    at = df.columns.index(text)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
+            good = np.zeros(len(texts), bool)
+            for part in blocks([len(t) for t in texts], 4_000_000):
+                good[part] = model.score(texts[part]) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyecho.llm import ann, bpe, langid, lzprint, ngramjoin, packing, pii, quality, warc
+from skyecho.llm import ann, bpe, langid, linededup, lzprint, ngramjoin, packing, pii, quality, warc
 from skyecho.llm.common import held_out, scratch
 
 
@@ -43,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -59,7 +63,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality, op3_warc, op4_fingerprint, op5_packing, op7_ann, op8_bpe, op9_pii, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality, op3_warc, op4_fingerprint, op5_packing, op6_line_dedup, op7_ann, op8_bpe, op9_pii, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
