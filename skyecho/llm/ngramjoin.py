@@ -36,7 +36,7 @@ HOT, LEADERS = 48, 4
 #: Sets of an n-gram that are compared with each other in one task (a pair of blocks).
 BLOCK = 4096
 FRAGMENT = 1 << 20
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
