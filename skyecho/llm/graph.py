@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import shuffle_width, written
+from skyecho.llm.common import written
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,10 +43,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     they shrink to a forest, then every vertex moves from its root to that root's
     root. Ends when all trees are stars; each round is stored.
     """
-    width = shuffle_width(links.sparkSession)
     now = written(links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(f"{a} <> {b}").mapInArrow(_forest, "v long, root long"), "links")
     while True:
-        trees = written(now.select("v", "root").repartition(width, "v").mapInArrow(_forest, "v long, root long"), "trees")
+        trees = written(now.select("v", "root").repartition("v").mapInArrow(_forest, "v long, root long"), "trees")
         above = trees.groupBy("v").agg(F.min("root").alias("above"), F.count("*").alias("n")).withColumnRenamed("v", "of")
         now = written(trees.join(above, trees["root"] == above["of"], "left").select("v", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "trees")
         several = now.groupBy("v").agg((F.min("root") != F.max("root")).alias("s"), F.max("moved").alias("m")).where("s or m")

@@ -33,9 +33,15 @@ SKETCH_BITS = 22
 CHUNK = 1 << 16
 FILTER_BITS = 26
 HOT, LEADERS = 48, 4
+#: Partners in the turns before all pairs across components are compared.
+TURNS = (6, 6, 6)
 #: Sets of an n-gram that are compared with each other in one task (a pair of blocks).
 BLOCK = 4096
 FRAGMENT = 1 << 20
+#: Entries of frequent n-grams that are compared in one task; a cluster with more is dealt by n-gram and pair of blocks.
+UNIT = 1 << 19
+#: Members of clusters (24 bytes each) that may be broadcast; beyond, the sets are shuffled to meet them.
+BROADCAST_ROWS = 500_000
 BLOCK_BYTES = 1_000_000
 
 
@@ -238,28 +244,55 @@ def _candidates(percent: int, hot: int, leaders: int) -> Callable:
     return run
 
 
-def _cross(percent: int) -> Callable:
-    """Pairs between sets of different components that share a frequent n-gram, of one pair of blocks."""
+def _cross(percent: int, partners: int = 0, turn: int = 0) -> Callable:
+    """Pairs, each once, between sets of different components that share a frequent n-gram, of one unit of entries.
+    With ``partners``, of each set outside an n-gram's largest component at most so many, chosen by hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, n, pos, root, side = (table.column(c).to_numpy() for c in ("key", "n", "pos", "root", "side"))
-        order = np.lexsort((key, n))
-        key, n, pos, root, side = (x[order] for x in (key, n, pos, root, side))
-        out_a, out_b = [], []
-        if len(key) and (root != root[0]).any():
-            stop = np.searchsorted(n, n * 100 // percent, side="right")
-            for i in range(len(key)):
-                j = slice(i + 1, stop[i])
-                able = (root[j] != root[i]) & ((side[j] != side[i]) | (side[i] == 2)) & _able(n[j], np.full(stop[i] - i - 1, n[i]), pos[j], pos[i], percent)
+        token, key, n, pos, root, side = (table.column(c).to_numpy() for c in ("token", "key", "n", "pos", "root", "side"))
+        order = np.lexsort((key, n, token))
+        token, key, n, pos, root, side = (x[order] for x in (token, key, n, pos, root, side))
+        draw = mix64(key.view(U64) + U64(turn))
+        bounds = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True]))) if len(token) else np.zeros(1, int)
+        found = np.empty((2, 0), np.int64)
+        fresh: list[np.ndarray] = []
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            own = root[first:last]
+            if (own == own[0]).all():
+                continue
+            stop = first + np.searchsorted(n[first:last], n[first:last] * 100 // percent, side="right")
+            rows = range(first, last)
+            if partners:
+                names, count = np.unique(own, return_counts=True)
+                rows = first + np.flatnonzero(own != names[count.argmax()])
+                start = first + np.searchsorted(n[first:last], -(-percent * n[first:last] // 100), side="left")
+            for i in rows:
+                j = slice(start[i - first] if partners else i + 1, stop[i - first])
+                able = root[j] != root[i]
                 if able.any():
-                    out_b.append(key[j][able])
-                    out_a.append(np.full(int(able.sum()), key[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                    able &= ((side[j] != side[i]) | (side[i] == 2)) & _able(n[j], np.full(len(able), n[i]), pos[j], pos[i], percent)
+                    at = j.start + np.flatnonzero(able)
+                    if partners and len(at) > partners:
+                        at = at[np.argpartition(draw[at] ^ draw[i], partners)[:partners]]
+                    if len(at):
+                        fresh.append(np.stack([np.minimum(key[at], key[i]), np.maximum(key[at], key[i])]))
+            if len(fresh) > 2000:
+                found, fresh = _unique(found, *fresh), []
+        found = _unique(found, *fresh)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
     return run
 
 
+def _unique(*pairs: np.ndarray) -> np.ndarray:
+    a, b = np.concatenate(pairs, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]])
+
+
 def _sets(n: int, wanted: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -313,7 +346,7 @@ def _links(pairs: DataFrame, members: DataFrame, segments: DataFrame, percent: i
     return total.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
-def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, hot: int = HOT, block: int = BLOCK, fragment: int = FRAGMENT) -> DataFrame:
+def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, hot: int = HOT, block: int = BLOCK, fragment: int = FRAGMENT, unit: int = UNIT) -> DataFrame:
     """Each row's id, ``n_shingles`` (the size of its set of word ``n``-grams) and
     ``component_id``, the smallest id that it reaches over links: pairs of sets with
     100 * common >= ``percent`` * united.
@@ -352,7 +385,8 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
             at = (r["k"] - 1) * 4096  # Spark counts positions and buckets of 4096 bytes from 1
             bitmap[at : at + len(r["bits"])] = r["bits"]
         sets = docs.select(text).mapInArrow(_sets(n, spark.sparkContext.broadcast(bytes(bitmap))), "key long, n long, grams array<long>")
-        placed = sets.join(members, "key").select("key", "n", "bucket", "fragments", "grams", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"))
+        few = members.count() <= BROADCAST_ROWS
+        placed = sets.join(F.broadcast(members) if few else members, "key").select("key", "n", "bucket", "fragments", "grams", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"))
         # A fragment is a range of hashes; a set that was read in several partitions is the same each time.
         cut = F.when(F.col("fragments") == 1, F.col("grams")).otherwise(F.filter("grams", lambda h: F.shiftright(F.shiftrightunsigned(h, 33) * F.col("fragments"), 31) == F.col("fragment")))
         segments = written(placed.select("key", "n", "bucket", "fragment", cut.alias("grams")), "segments")
@@ -360,16 +394,23 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
         often = found.where("kind = 1").select("token", F.col("a").alias("key"), "n", "pos")
         joined = components(links)
         if not often.isEmpty():
-            many = often.groupBy("token").agg(F.count("*").alias("count")).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-            roots = joined.withColumnRenamed("v", "key")
-            entry = often.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(many, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-            # Each entry goes to every pair of blocks that holds its own; side 2: both blocks are the same one.
+            size = written(often.join(cluster.withColumnRenamed("root", "cluster"), "key"), "entries")
+            counts = size.groupBy("cluster").agg(F.count("*").alias("size"))
+            many = size.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+            entry = size.join(counts, "cluster").join(many, "token").withColumn("blocks", F.when(F.col("size") <= unit, 1).otherwise(F.col("blocks"))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+            # Of a large cluster each entry goes to every pair of blocks that holds its own; side 2: both blocks are the same one.
             dealt = entry.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "key", "n", "pos", "root", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
-            more = written(dealt.groupBy("token", "x", "y").applyInArrow(_cross(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-            late = written(_links(more, members, segments, percent), "links")
-            if not late.isEmpty():
-                joined = components(links.unionByName(late))
+            unit_of = F.when(F.col("size") <= unit, F.col("cluster")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+            dealt = dealt.select(unit_of.alias("unit"), "token", "key", "n", "pos", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+            # A few turns with chosen partners draw most sets into their component; then all pairs across components are left.
+            for turn, partners in enumerate((*TURNS, 0)):
+                rooted = dealt.join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+                more = written(rooted.groupBy("unit").applyInArrow(_cross(percent, partners, turn), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+                late = written(_links(more, members, segments, percent), "links")
+                pairs = pairs.unionByName(more)
+                if not late.isEmpty():
+                    links = links.unionByName(late)
+                    joined = components(links)
         classes = classes.join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = classes.join(ids, "root").select("key", "component_id")
