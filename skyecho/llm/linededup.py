@@ -25,9 +25,11 @@ from skyecho.llm.common import written
 
 SKETCH_BITS = 18
 SHARED = 2
-HOT = 64
+HOT = 32
 #: Rows of a table with up to a few dozen bytes each that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
+#: How arrays of hashes are written: a dictionary of them would overflow.
+HASHES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
 
 
 def _joined(left: DataFrame, right: DataFrame, rows: int, on: list[str] | Column, how: str) -> DataFrame:
@@ -36,24 +38,23 @@ def _joined(left: DataFrame, right: DataFrame, rows: int, on: list[str] | Column
 
 
 def _rarity(sets: DataFrame, bits: int) -> Column:
-    """An array with a step for each bucket of words: four times log2 of its count."""
+    """An array with a step for each bucket of words, four times log2 of its count, times 2^56."""
     spark = sets.sparkSession
     side = 1 << (bits // 2)
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(1 << bits)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
+    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
     steps = counts.select("bucket", F.least(F.lit(120), F.floor(F.log2(F.col("c") + 1) * 4)).cast("int").alias("s"))
     table = [0] * (1 << bits)  # of fixed size
     rows = steps.groupBy((F.col("bucket") / side).cast("int").alias("row")).agg(F.collect_list(F.struct("bucket", "s")).alias("x")).select(F.col("x.bucket").alias("b"), F.col("x.s").alias("s"))
     for r in rows.toLocalIterator():
         for b, s in zip(r["b"], r["s"], strict=True):
-            table[b] = s
-    return spark.createDataFrame([(table,)], "t array<tinyint>").scalar()
+            table[b] = s << 56
+    return spark.createDataFrame([(table,)], "t array<bigint>").scalar()
 
 
-def _able(n: Column, pos: Column, m: Column, at: Column, percent: int, need: Column) -> Column:
-    """Whether two sets of ``n`` and ``m`` words may match if the words at these places are
-    among the first ``need`` that they share."""
-    most = need + F.least(n - 1 - pos, m - 1 - at)
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (most * (100 + percent) >= (n + m) * percent)
+def _spaced(text: Column) -> Column:
+    """The text with a space for every tab and carriage return; mostly there is none."""
+    some = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r"))
+    return F.when(some, F.translate(text, "\t\r", "  ")).otherwise(text)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -74,60 +75,68 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     The order is by id (nulls first), then the text's hash, then line. Rows that
     repeat id and text are one document here: all keep and lose the same lines.
     Lines without a word match nothing. Words are runs of characters other than
-    white space, in lower case.
+    spaces, tabs and line ends, in lower case.
     """
-    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.split(text, "\n", -1).alias("_lines")).where(F.col("_lines").isNotNull())
+    docs = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.split(_spaced(F.col(text)), "\n", -1).alias("_lines"))
     place = F.struct("_id", "_hash", "no")
-    lines = docs.select("_id", "_hash", F.posexplode("_lines").alias("no", "line")).where(F.col("line").rlike(r"\S"))
+    # Outer generators all over: the filters inferred for inner ones would make their arrays again.
+    lines = docs.select("_id", "_hash", F.posexplode_outer("_lines").alias("no", "line"))
     same = ["h1", "h2"]
-    hashed = lines.select("_id", "_hash", "no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    hashed = lines.select("_id", "_hash", "no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.trim("line").alias("_bare")).where("_bare <> ''").drop("_bare")
     groups = hashed.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     later = hashed.join(groups, same).where(~place.eqNullSafe(F.col("first")))
     copies = written(later.groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies")), "line-copies")
     # What goes on: first occurrences, as hashes of their words (56 bits, a step of rarity fits above them).
     both = (docs["_hash"] == F.col("_h")) & docs["_id"].eqNullSafe(F.col("_i"))
     rest = _joined(docs, copies.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "copies"), copies.count(), both, "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("copies", F.array().cast("array<int>")))
-    fresh = rest.select("_id", "_hash", "_lines", F.explode(kept).alias("no")).select("_id", "_hash", "no", F.get("_lines", F.col("no")).alias("line")).where(F.col("line").rlike(r"\S"))
-    words = F.array_distinct(F.transform(F.array_remove(F.split(F.lower("line"), r"\s+"), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
-    sets = fresh.select("_id", "_hash", "no", words.alias("words"))
-    sets = written(sets.select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words"), "line-sets")
-
-    # Prefix entries: the rarest words of each line, with the size and the place in one number.
+    kept = F.when(F.col("copies").isNull(), F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("copies")))
+    fresh = rest.select("_id", "_hash", F.explode_outer(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get("_lines", i).alias("line")))).alias("x"))
+    hashed_word = lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)
+    words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
+    sets = fresh.select("_id", "_hash", "x.no", words.alias("words")).where(F.size("words") > 0)
+    sets = written(sets.select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words"), "line-sets", HASHES)
+
+    # Prefix entries: the rarest words of each line. A line of n words with r words behind this one can match one of
+    # m words, this being among the first ``shared`` in common, only if 100 n >= percent m, and if shared + r reach
+    # the overlap of percent (n + m) / (100 + percent) words: m is at most ``top``. The same holds the other way round.
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     need = lambda n: F.least(F.lit(shared), F.ceil(n * percent / 100)).cast("int")
-    bucket = lambda w: F.pmod(w, F.lit(1 << sketch_bits)).cast("int")
-    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(F.col("_rarity"), bucket(w)).cast("long"), 56) + w))
+    bucket = lambda w: w.bitwiseAND(F.lit((1 << sketch_bits) - 1)).cast("int")
+    ordered = F.sort_array(F.transform("words", lambda w: F.coalesce(F.get(F.col("_rarity"), bucket(w)), F.lit(0).cast("long")) + w))
     ranked = sets.withColumn("_rarity", _rarity(sets, sketch_bits)).select("line_id", "n", F.slice(ordered, F.lit(1), F.col("n") - least + need(F.col("n"))).alias("prefix"))
-    entries = ranked.select("line_id", "n", F.posexplode("prefix").alias("pos", "word")).select("word", "line_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"))
-    n, pos = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    able = lambda x, y: _able(n(x), pos(x), n(y), pos(y), percent, F.least(need(n(x)), need(n(y))))
+    entries = ranked.select("line_id", "n", F.posexplode_outer("prefix").alias("pos", "word"))
+    top = F.least(F.expr(f"100L * n div {percent}"), F.expr(f"(n - 1 - pos + {shared}) * {100 + percent}L div {percent} - n")).cast("long")
+    entries = entries.select("word", "line_id", (F.shiftleft(F.col("n").cast("long"), 32) + top).alias("sizes"))
+    size, limit = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
     by_word = Window.partitionBy("word").orderBy("line_id")
-    whole, before = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_word.rowsBetween(1 - hot, -1)
-    met = entries.withColumns({"count": F.count("*").over(whole), "before": F.collect_list(F.struct("line_id", "np")).over(before)}).where("count > 1")
-    pair = F.transform(F.filter("before", lambda x: able(F.col("np"), x["np"])), lambda x: F.struct(x["line_id"].alias("a"), F.col("line_id").alias("b"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("np"), F.least(n(x["np"]), n(F.col("np"))).alias("size")))
-    frequent = F.array(F.struct(F.col("line_id").alias("a"), F.lit(None).cast("long").alias("b"), "word", "np", F.lit(None).cast("int").alias("size")))
-    found = met.select(F.explode(F.when(F.col("count") <= hot, pair).otherwise(frequent)).alias("x")).select("x.*")
-    found = written(found.groupBy("a", "b", "word", "np").agg(F.count("*").alias("c"), F.max("size").alias("size")), "line-pairs")
-    few = found.where("b is not null").select("a", "b", "c", "size")
-    often = found.where("b is null").select(F.col("a").alias("line_id"), "word", "np")
+    before = by_word.rowsBetween(1 - hot, -1)
+    met = entries.select("word", "line_id", size(F.col("sizes")).alias("m"), limit(F.col("sizes")).alias("top"))
+    met = met.withColumns({"before": F.collect_list(F.struct("line_id", "m", "top")).over(before), "at": F.row_number().over(by_word)}).where("at > 1")
+    null = lambda kind: F.lit(None).cast(kind)
+    fits = F.filter("before", lambda x: (x["m"] <= F.col("top")) & (F.col("m") <= x["top"]))
+    pair = F.transform(fits, lambda x: F.struct(x["line_id"].alias("a"), F.col("line_id").alias("b"), null("long").alias("word"), null("long").alias("m"), null("long").alias("top"), F.least(x["m"], F.col("m")).alias("size")))
+    # From its line number HOT on a word counts as frequent; that line brings all before it as well.
+    entry = lambda x: F.struct(x["line_id"].alias("a"), null("long").alias("b"), F.col("word"), x["m"].alias("m"), x["top"].alias("top"), null("long").alias("size"))
+    own = F.array(entry(F.struct("line_id", "m", "top")))
+    made = F.when(F.col("at") < hot, pair).when(F.col("at") == hot, F.concat(F.transform("before", entry), own)).otherwise(own)
+    found = written(met.select(F.explode_outer(made).alias("x")).select("x.*").where("a is not null"), "line-pairs")
+    few = found.where("b is not null").select("a", "b", F.lit(1).cast("long").alias("c"), "size")
+    often = found.where("b is null").select(F.col("a").alias("line_id"), "word", "m", "top").distinct()
     enough = need(F.col("size"))
 
     gone: DataFrame | None = None
     if not often.isEmpty():
         # Each line with a frequent word against the earliest line with it.
         often = written(often.join(sets.select("line_id", place.alias("place")), "line_id"), "frequent")
-        lead = often.groupBy("word").agg(F.min(F.struct("place", "line_id", "np")).alias("lead"))
-        first = often.join(lead, "word").where((F.col("line_id") != F.col("lead.line_id")) & able(F.col("np"), F.col("lead.np")))
-        first = first.select(F.col("lead.line_id").alias("a"), F.col("line_id").alias("b"), F.least(n(F.col("np")), n(F.col("lead.np"))).alias("size"))
+        lead = often.groupBy("word").agg(F.min(F.struct("place", "line_id", "m", "top")).alias("lead")).select("word", F.col("lead.line_id").alias("a"), F.col("lead.m").alias("m_a"), F.col("lead.top").alias("top_a"))
+        first = often.join(lead, "word").where("line_id <> a and m <= top_a and m_a <= top").select("a", F.col("line_id").alias("b"), F.least("m", "m_a").alias("size"))
         first = first.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("size").alias("size")).where(F.col("c") >= enough).select("a", "b")
         gone = written(_verified(first, sets, percent), "lines-gone")
         # Then against all, but for pairs of which both are gone; the earlier of a pair may be.
-        open_ = often.join(gone, "line_id", "left_anti").select("word", F.col("line_id").alias("x"), F.col("np").alias("xp"))
-        pairs = open_.join(often.select("word", "line_id", "np"), "word").where((F.col("x") != F.col("line_id")) & able(F.col("xp"), F.col("np")))
-        pairs = pairs.select(F.least("x", "line_id").alias("a"), F.greatest("x", "line_id").alias("b"), "word", F.least(n(F.col("xp")), n(F.col("np"))).alias("size"))
-        pairs = pairs.distinct().groupBy("a", "b").agg(F.count("*").alias("c"), F.max("size").alias("size"))
-        few = few.unionByName(pairs)
+        open_ = often.join(gone, "line_id", "left_anti").select("word", F.col("line_id").alias("x"), F.col("m").alias("m_x"), F.col("top").alias("top_x"))
+        pairs = open_.join(often.select("word", "line_id", "m", "top"), "word").where("x <> line_id and m <= top_x and m_x <= top")
+        pairs = pairs.select(F.least("x", "line_id").alias("a"), F.greatest("x", "line_id").alias("b"), "word", F.least("m", "m_x").alias("size"))
+        few = few.unionByName(pairs.distinct().select("a", "b", F.lit(1).cast("long").alias("c"), "size"))
     total = few.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= enough).select("a", "b")
     late = _verified(written(total, "line-pairs"), sets, percent)
     gone = late if gone is None else gone.unionByName(late).distinct()
@@ -137,18 +146,19 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
 
 def dedup(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", counts: bool = False, **options: int) -> DataFrame:
     """``df`` without the lines that ``removals`` names; with ``counts`` also ``n_lines`` and
-    ``n_removed``. Null texts stay null; a text may end up empty, its row stays."""
+    ``n_removed``. Null texts stay null; a text may end up empty, its row stays.
+    Names that begin with __line are taken."""
     found = removals(df, percent, id_col, text, **options)
-    found = written(found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "lines"), "line-removals")
-    keyed = df.withColumn("_key", F.xxhash64(text))
-    both = (F.col("_key") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_i"))
+    found = written(found.select(F.col("_id").alias("__line_id"), F.col("_hash").alias("__line_hash"), F.col("lines").alias("__line_gone")), "line-removals")
+    keyed = df.withColumn("__line_key", F.xxhash64(text))
+    both = (F.col("__line_key") == F.col("__line_hash")) & F.col(id_col).eqNullSafe(F.col("__line_id"))
     joined = _joined(keyed, found, found.count(), both, "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_gone"))
     # split() stands in a column of its own, as the transform reads it for every line.
-    joined = joined.withColumn("_lines", F.when(F.col("lines").isNotNull(), lines)).withColumn(text, F.when(F.col("lines").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(text)))
+    joined = joined.withColumn("__line_all", F.when(F.col("__line_gone").isNotNull(), lines)).withColumn(text, F.when(F.col("__line_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("__line_all", i)), "\n")).otherwise(F.col(text)))
     out = list(df.columns)
     if counts:
-        joined = joined.withColumns({"n_removed": F.coalesce(F.size("lines"), F.lit(0)), "n_lines": F.coalesce(F.size("_lines"), F.size(F.split(text, "\n", -1)), F.lit(0))})
+        joined = joined.withColumns({"n_removed": F.coalesce(F.size("__line_gone"), F.lit(0)), "n_lines": F.coalesce(F.size("__line_all"), F.size(F.split(text, "\n", -1)), F.lit(0))})
         out += ["n_lines", "n_removed"]
     return joined.select(*out)
