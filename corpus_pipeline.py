@@ -40,7 +40,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096 tokens: one row per piece of a document."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Stages share their executors: the tokenizer remembers less than by itself.
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=300_000)
 
 
 def _recounted(changed: DataFrame, docs: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from skyecho.llm.common import blocks
+from skyecho.llm.common import blocks, drops, enter
 
 #: The public pre-tokenization pattern of byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+")
@@ -145,14 +146,14 @@ class Remembered:
     encoded whole, since their pieces can't stand alone.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], lead: bool) -> None:
-        self.encode_pieces, self.lead = encode_pieces, lead
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], lead: bool, keep: int = KEEP_PIECES) -> None:
+        self.encode_pieces, self.lead, self.keep = encode_pieces, lead, keep
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes | None] = {}
 
     def learn(self, firsts: set[str], laters: set[str]) -> None:
         """Room is made only before a block, so that all of a block's pieces are there."""
-        if len(self.first) + len(self.later) > KEEP_PIECES:
+        if len(self.first) + len(self.later) > self.keep:
             self.first.clear()
             self.later.clear()
         firsts = [w for w in firsts if w not in self.first]
@@ -187,6 +188,9 @@ def encoder(path: str) -> tuple[MergeRounds, Remembered]:
     return rounds, Remembered(rounds.encode_pieces, lead=True)
 
 
+drops(encoder.cache_clear)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
     """``keep`` columns of every row, ``ids`` (array of long) of its whole text (null:
     empty) and, with ``decode``, the ``decoded`` text of those ids.
@@ -209,11 +213,13 @@ def _coded(df: DataFrame, vocabulary: str, text: str, keep: tuple[str, ...], dec
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         rounds, remembered = encoder(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for part in blocks([len(t) for t in texts], BLOCK_CHARS):
-                ids = [np.frombuffer(x, "<u4") for x in remembered.encode(texts[part])]
+            column = batch.column(len(keep))
+            for part in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK_CHARS):
+                texts = [t or "" for t in column.slice(part.start, part.stop - part.start).to_pylist()]
+                ids = [np.frombuffer(x, "<u4") for x in remembered.encode(texts)]
                 front = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 if digests:
                     made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(rounds.decode(x).encode()).hexdigest() for x in ids])]

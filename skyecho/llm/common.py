@@ -34,11 +34,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/skyecho/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the lineage ends there, and a
     lost executor costs no more than reading it again."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -145,3 +145,30 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(space & np.concatenate(([False], word[:-1])))
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return segment_hashes(data, begins, ends), np.searchsorted(begins, offsets)
+
+
+_owner = ""
+_dropped: list = []
+
+
+def drops(clear: object) -> None:
+    """Registers what empties an operator's memory in a Python worker."""
+    _dropped.append(clear)
+
+
+def enter(owner: str) -> None:
+    """Called by a task: what a worker remembers for other operators goes, so that it holds one operator's at a time."""
+    global _owner
+    if owner != _owner:
+        for clear in _dropped:
+            clear()
+        if _owner:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)  # else freed memory stays with the worker
+            except (OSError, AttributeError):
+                pass
+        _owner = owner

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import blocks
+from skyecho.llm.common import blocks, enter
 
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -211,6 +211,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         model: Model | None = shared.value
         table = model.codes.table() if model else None
         names = [*model.languages, UNDETERMINED] if model else [UNDETERMINED]

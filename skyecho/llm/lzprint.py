@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import U64, segment_hashes, shuffle_width
+from skyecho.llm.common import enter, segment_hashes, shuffle_width, U64
 
 COMPONENTS = 64
 _random = np.random.default_rng(20)
@@ -96,6 +96,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", fingerprint string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lzprint")
         for batch in batches:
             made = [encoded(Parsed(t or "", len(t or "")).signature) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(made, pa.string())], [*keep, "fingerprint"])
@@ -140,6 +141,7 @@ def with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ordered = dealt.repartition(width, "_block").sortWithinPartitions("_block", "_ahead", "_key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lzprint")
         before: tuple[object, Parsed] | None = None
         block = None
         for batch in batches:

@@ -22,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import U64, blocks, mix64, shuffle_width, word_hashes, written
+from skyecho.llm.common import U64, blocks, enter, mix64, shuffle_width, word_hashes, written
 from skyecho.llm.graph import components
 
 SKETCH_BITS = 22
@@ -75,13 +76,13 @@ def set_key(grams: np.ndarray) -> int:
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
-    own = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    for part in blocks([len(t) for t in own], BLOCK_BYTES):
-        yield part, own[part]
+    for part in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK_BYTES):
+        yield part, [t or b"" for t in column.slice(part.start, part.stop - part.start).cast(pa.binary()).to_pylist()]
 
 
 def _described(n: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngramjoin")
         counts = np.zeros(1 << bits, np.uint32)
         kind = pa.int64()
         nulls = lambda k, t: pa.nulls(k, t)
@@ -113,6 +114,7 @@ def _summed(chunk: pa.Table) -> pa.Table:
 
 def _prefixes(n: int, percent: int, bits: int, sketch: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngramjoin")
         often: np.ndarray = sketch.value
         seen: set[int] = set()
         for batch in batches:
@@ -182,6 +184,7 @@ def _candidates(percent: int, hot: int, leaders: int) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 1, np.int8)), pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(token), pa.array(n), pa.array(pos)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngramjoin")
         carry: list[np.ndarray] | None = None
         lead: list[np.ndarray] | None = None  # of the frequent n-gram that the last batch ended in
         last: tuple[int, int] | None = None
@@ -295,6 +298,7 @@ def _unique(*pairs: np.ndarray) -> np.ndarray:
 
 def _sets(n: int, wanted: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngramjoin")
         bits = np.frombuffer(wanted.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:

@@ -30,23 +30,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.bpe import Remembered
-from skyecho.llm.common import blocks, written
+from skyecho.llm.bpe import KEEP_PIECES, Remembered
+from skyecho.llm.common import blocks, drops, enter, written
 
 #: Pieces in a shard, on average.
 SHARD_PIECES = 16_384
 GROUP_COUNTS = (12, 32)
-#: Words that a worker remembers.
-KEEP_WORDS = 800_000
 #: A word of letters that stay as they are when composed, and ASCII signs that start no special token or contraction.
 SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|()]*)")
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> Remembered:
+def tokenizer(path: str, keep: int = KEEP_PIECES) -> Remembered:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +70,7 @@ def tokenizer(path: str) -> Remembered:
             known.update(zip(words[part], split, strict=True))
 
     def encode_pieces(pieces: list[str]) -> list[bytes]:
-        if len(known) > KEEP_WORDS:
+        if len(known) > keep * 2 // 3:
             known.clear()
         out: list[bytes | list[str]] = []
         words, odd = set(), set()
@@ -95,24 +94,30 @@ def tokenizer(path: str) -> Remembered:
         return [b"".join([known[w] for w in parts]) for parts in out]
 
     # This vocabulary drops white space, so no word reaches over a space and pieces between spaces stand alone.
-    return Remembered(encode_pieces, lead=False)
+    return Remembered(encode_pieces, lead=False, keep=keep)
 
 
-def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+drops(tokenizer.cache_clear)
+
+
+def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, keep: int = KEEP_PIECES) -> DataFrame:
     """Every document (null text: empty) as ids with ``end_id`` behind, cut into pieces of at most
-    ``capacity``: id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids."""
+    ``capacity``: id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids. A worker remembers the
+    ids of about ``keep`` pieces of text, some 300 bytes each: time against memory."""
     kept = df.select(id_col, text)
     kind = kept.schema[id_col].dataType.simpleString()
     last = int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered = tokenizer(vocabulary)
+        enter("packing")
+        remembered = tokenizer(vocabulary, keep)
         for batch in batches:
-            ids_of, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for part in blocks([len(t) for t in texts], 2_000_000):
+            ids_of, column = batch.column(0), batch.column(1)
+            for part in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 2_000_000):
+                texts = [t or "" for t in column.slice(part.start, part.stop - part.start).to_pylist()]
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, got in enumerate(remembered.encode(texts[part]), part.start):
+                for i, got in enumerate(remembered.encode(texts), part.start):
                     got += last
                     for k, at in enumerate(range(0, len(got), step)):
                         own = got[at : at + step]
@@ -262,10 +267,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", shard_
     return dealt.groupBy("_shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text", keep: int = KEEP_PIECES) -> DataFrame:
     """Tokenizes and packs: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts count as empty (one piece: the end id). Rows that repeat an id are
     packed as documents of their own. Other columns are left out.
     """
-    return pack(written(token_pieces(df, vocabulary, capacity, end_id, id_col, text), "pieces"), capacity, id_col)
+    return pack(written(token_pieces(df, vocabulary, capacity, end_id, id_col, text, keep=keep), "pieces"), capacity, id_col)

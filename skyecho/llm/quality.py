@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import IS_SPACE, blocks, mix64, word_hashes
+from skyecho.llm.common import blocks, enter, IS_SPACE, mix64, word_hashes
 
 PAIR_BUCKETS = 128
 #: Kinds of bytes: lower case, upper case, digits, white space, other ASCII, beyond ASCII.
@@ -126,7 +126,7 @@ def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16
     return Model(mean, scale, average, prior)
 
 
-def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", most_good: int = 6000, most_unlabelled: int = 12_000, prior: float | None = None) -> Model | None:
+def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", most_good: int = 5000, most_unlabelled: int = 10_000, prior: float | None = None) -> Model | None:
     """A model from rows of ``df`` where ``learn`` (over ``key``) holds; None without a trusted positive.
 
     The bound of what is learned from: ``most_good`` rows that all their labels call
@@ -153,19 +153,20 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
         other = smallest(rest, most_unlabelled)
     chosen = spark.createDataFrame([(i, k) for k, own in enumerate((good, other)) for i in own] or [(None, 0)], f"`{key}` {df.schema[key].dataType.simpleString()}, _kind int")
     texts = df.select(key, text).join(F.broadcast(chosen), key).select("_kind", key, text)  # as many ids as the two bounds at most
-    drawn = texts.mapInArrow(_described, "_kind int, _key long, x array<float>").orderBy("_kind", "_key").collect()
-    x = [np.array([r["x"] for r in drawn if r["_kind"] == k], np.float32).reshape(-1, WIDTH) for k in (0, 1)]
+    drawn = texts.mapInArrow(_described, "_kind int, _key long, x binary").orderBy("_kind", "_key").collect()
+    x = [np.frombuffer(b"".join(r["x"] for r in drawn if r["_kind"] == k), np.float32).reshape(-1, WIDTH) for k in (0, 1)]
     if not len(x[0]) or not len(x[1]):
         return None
     return fit(x[0], x[1], prior)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("quality")
     for batch in batches:
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-        for part in blocks([len(t) for t in texts], 4_000_000):
+        for part in blocks([len(t) for t in texts], 1_000_000):
             x = features(texts[part])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(x)), batch.column(1).slice(part.start, len(x)), pa.array(list(x), pa.list_(pa.float32()))], ["_kind", "_key", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(x)), batch.column(1).slice(part.start, len(x)), pa.array([row.tobytes() for row in x], pa.binary())], ["_kind", "_key", "x"])
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -179,11 +180,12 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         model: Model | None = shared.value
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
             out = np.full(len(texts), 0.5)
-            for part in blocks([len(t) for t in texts], 4_000_000) if model else ():
+            for part in blocks([len(t) for t in texts], 1_000_000) if model else ():
                 out[part] = model.score(texts[part])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out)], [*keep, "score"])
 
@@ -198,11 +200,12 @@ def accepted(df: DataFrame, model: Model | None, threshold: float = 0.7, text: s
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         model: Model = shared.value
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
             good = np.zeros(len(texts), bool)
-            for part in blocks([len(t) for t in texts], 4_000_000):
+            for part in blocks([len(t) for t in texts], 1_000_000):
                 good[part] = model.score(texts[part]) >= threshold
             yield batch.filter(pa.array(good))
 
