@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skyecho.llm.common import written
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SHARED = 2
 HOT = 32
 #: Rows of a table with up to a few dozen bytes each that may be broadcast; beyond it both sides are shuffled.
@@ -48,7 +48,7 @@ def _rarity(sets: DataFrame, bits: int) -> Column:
     for r in rows.toLocalIterator():
         for b, s in zip(r["b"], r["s"], strict=True):
             table[b] = s << 56
-    return spark.createDataFrame([(table,)], "t array<bigint>").scalar()
+    return spark.createDataFrame([(table,)], "t array<bigint>", verifySchema=False).scalar()
 
 
 def _spaced(text: Column) -> Column:
