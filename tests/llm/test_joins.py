@@ -217,6 +217,31 @@ def test_pseudonyms_are_one_to_one(spark):
     assert pii.apply(numbers).select("text").distinct().count() == 20_000
 
 
+def test_dates_in_every_form(spark):
+    same = ["1999-03-25", "1999/03/25", "25.03.1999", "25/03/1999", "25-03-1999", "03/25/1999", "3/25/1999", "03-25-1999", "1999-03-25T10:00:00Z"]
+    early = ["1999-03-05", "05.03.1999", "3/5/1999", "05-03-1999"]
+    not_dates = ["31/13/2001", "2001-02-29T10:00:00", "30-02-2001", "2001/13/01", "1999-03-25Tuesday", "25/03/19990"]
+    texts = [f"le {x} à" for x in (*same, *early, "31/12/2001", "13/01/2001", *not_dates)]
+    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    year, month, day = re.fullmatch(r"le (\d{4})-(\d\d)-(\d\d) à", got[0][0]).groups()
+    assert (year, month, day) != ("1999", "03", "25") and int(day) > 12
+    forms = [f"{year}-{month}-{day}", f"{year}/{month}/{day}", f"{day}.{month}.{year}", f"{day}/{month}/{year}", f"{day}-{month}-{year}", f"{month}/{day}/{year}", f"{month}/{day}/{year}", f"{month}-{day}-{year}", f"{year}-{month}-{day}T10:00:00Z"]
+    assert got[: len(same)] == [(f"le {x} à", 1) for x in forms]
+    year, month, day = re.fullmatch(r"le (\d{4})-(\d\d)-(\d\d) à", got[len(same)][0]).groups()
+    assert int(day) <= 12 and [x for x, _ in got[len(same) : len(same) + 4]] == [f"le {x} à" for x in (f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{day}-{month}-{year}")]
+    rest = len(same) + len(early)
+    assert all(n == 1 and t != was for (t, n), was in zip(got[rest : rest + 2], texts[rest:], strict=False))
+    assert got[rest + 2 :] == [(x, 0) for x in texts[rest + 2 :]]
+
+
+def test_slashed_dates_are_one_to_one(spark):
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    month_first = spark.range(73049).select(F.date_format(day, "MM/dd/yyyy").alias("text"))
+    day_first = spark.range(73049).where(F.dayofmonth(day) > 12).select(F.date_format(day, "dd/MM/yyyy").alias("text"))
+    both = month_first.union(day_first)
+    assert pii.apply(both).select("text").distinct().count() == both.count() == pii.apply(both).where("n_pii <= 1").count()
+
+
 def test_native_plans(spark):
     df = spark.createDataFrame([(1, "a 97.51.17.173")], "doc_id long, text string")
     for out in (pii.apply(df), linededup.dedup(df)):
