@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: The forms looked for, in order of precedence.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}(?<=\.[A-Za-z]{2,24})"
-SECRET = r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z0-9_/+=-]{16})(?<=(?i:token|secret|password|passwd|api[_-]?key)[^\p{L}0-9\n]{1,8})[A-Za-z0-9_/+=-]++"
+WORDS = r"(?i:token|secret|password|passwd|api[_-]?key)"
+#: An equals sign separates a value from its word and may end it, but doesn't begin it.
+SECRET = rf"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-][A-Za-z0-9_/+=-]{{15}})(?<={WORDS}[^\p{{L}}0-9\n]{{1,8}})[A-Za-z0-9_/+=-]++"
 ADDRESS = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
@@ -28,7 +30,8 @@ DATE = (
     r"(?![0-9A-SU-Za-su-z\/-]|[Tt](?![0-9]{2}))"
 )
 FORMS = {"mail": MAIL, "secret": SECRET, "address": ADDRESS, "card": CARD, "phone": PHONE, "social": SOCIAL, "date": DATE}
-PATTERN = "|".join(FORMS.values())
+#: Its only group is the secret: that may look like any other form.
+PATTERN = "|".join(f"({p})" if name == "secret" else p for name, p in FORMS.items())
 #: Days from 1900-01-01 to 2099-12-31, as two factors for the network.
 DAYS = (17, 4297)
 ROUNDS = 10
@@ -90,8 +93,8 @@ def _date(m: str, key: str) -> str:
     return _let("o", order, _let("n", found, f"if(n is null, null, {_let('v', there, shown)})"))
 
 
-def _pseudonym(m: str, key: str) -> str:
-    """SQL for what replaces the found string ``m``: itself if it isn't valid."""
+def _pseudonym(m: str, key: str, secret_found: str) -> str:
+    """SQL for what replaces the found string ``m``: itself if it isn't valid. ``secret_found`` tells whether it matched as a secret."""
     d = f"regexp_replace({m}, '[^0-9]', '')"
     hexed = f"substring(sha2(concat('{key}|secret|', {m}), 512), 1, least(128, length({m})))"
     secret = f"rpad(if({m} = upper({m}), upper({hexed}), {hexed}), length({m}), '0')"
@@ -102,15 +105,15 @@ def _pseudonym(m: str, key: str) -> str:
     body = _digits("substring(d, 1, length(d) - 1)", "'card'", key)
     card = _let("d", d, f"if({_luhn('d', 0)} % 10 <> 0, {m}, {_let('e', _let('c', body, 'concat(c, cast((10 - ' + _luhn('c', 1) + ' % 10) % 10 as string))'), _refilled(m, 'e'))})")
     number = lambda salt: _let("d", d, _let("e", f"concat(substring(d, 1, length(d) - least(10, length(d))), {_digits('substring(d, 1 + length(d) - least(10, length(d)))', salt, key)})", _refilled(m, "e")))
-    # What has no digit at its ends but an @ is a mail address; the other forms tell themselves apart by their signs.
+    # Secrets are known by their group; the other forms tell themselves apart by their signs.
     return (
-        f"case when instr({m}, '@') > 0 then {mail} "
+        f"case when {secret_found} then {secret} when instr({m}, '@') > 0 then {mail} "
         f"when {m} rlike '^{_sql(OCTET)}([.]{_sql(OCTET)}){{3}}$' then {address} "
         f"when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {number(chr(39) + 'social' + chr(39))} "
         f"when {m} rlike '^([0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}|[0-9]{{1,2}}([./-])[0-9]{{1,2}}[./-][0-9]{{4}})$' then coalesce({_date(m, key)}, {m}) "
         f"when {m} rlike '^[+(]' or {m} rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' then {number(chr(39) + 'phone' + chr(39))} "
         f"when {m} rlike '^[0-9]([0-9 -]){{11,21}}[0-9]$' and length({d}) between 13 and 19 then {card} "
-        f"when length({m}) >= 16 then {secret} else {m} end"
+        f"else {m} end"
     )
 
 
@@ -133,13 +136,16 @@ def apply(df: DataFrame, text: str = "text", key: str = "skyecho", out: str | No
         raise ValueError("the key must be letters and digits")
     out = out or text
     t = f"`{text}`"
-    replaced = f"transform(__pii_found, m -> {_pseudonym('m', key)})"
-    # Only texts with a digit or an @ can hold a candidate.
-    some = df.withColumn("__pii_found", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
+    replaced = f"zip_with(__pii_found, __pii_secret, (m, s) -> {_pseudonym('m', key, 's')})"
+    # Only texts with a digit, an @ or a secret's word can hold a candidate.
+    some = df.withColumn("__pii_found", F.when(F.col(text).rlike(f"[0-9@]|{WORDS}"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))))
+    secrets = F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(1)), lambda x: x != "")
+    none = F.transform("__pii_found", lambda _: F.lit(False))
+    some = some.withColumn("__pii_secret", F.when((F.size("__pii_found") > 0) & F.col(text).rlike(WORDS), secrets).when(F.size("__pii_found") > 0, none))
     some = some.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.expr(replaced)))
     joined = "array_join(flatten(zip_with(__pii_between, __pii_new, (x, y) -> array(x, coalesce(y, '')))), '')"
     some = some.withColumn("__pii_between", F.when(F.col("__pii_new").isNotNull(), F.split(F.col(text), PATTERN, -1)))
     some = some.withColumn(out, F.when(F.col("__pii_new").isNotNull(), F.expr(joined)).otherwise(F.expr(t)))
     if count:
         some = some.withColumn(count, F.coalesce(F.expr("size(filter(zip_with(__pii_found, __pii_new, (x, y) -> x <> y), z -> z))"), F.lit(0)))
-    return some.drop("__pii_found", "__pii_new", "__pii_between")
+    return some.drop("__pii_found", "__pii_secret", "__pii_new", "__pii_between")

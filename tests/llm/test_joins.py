@@ -242,6 +242,22 @@ def test_slashed_dates_are_one_to_one(spark):
     assert pii.apply(both).select("text").distinct().count() == both.count() == pii.apply(both).where("n_pii <= 1").count()
 
 
+def test_secrets_by_any_separator_and_look(spark):
+    value = "q7Zt/k-Xw_Lm+PrVbNcD"
+    heads = ["token=", "API_KEY=", "see ?token=", "password: ", 'secret="', "token => ", "Passwd:\t"]
+    values = [value, value.upper(), "abcdefghijklmnopqrst", "9807915762804490", "4845168114407329", "123456789012345678", "+abcdefghijklmnop", "+1abcdefghijklmnopq", "017-555-7713-abcdefg", "1999-03-25T10-00-00", value + "=="]
+    kept = ["token=short", "a token of abcdefghijklmnopqrst", "token====", "no word: abcdefghijklmnopqrst=x"]
+    texts = [f"{h}{v} end" for h in heads for v in values] + kept
+    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    seen: dict[str, set] = {}
+    for (text, n), (h, v) in zip(got, ((h, v) for h in heads for v in values), strict=False):
+        new = re.fullmatch(re.escape(h) + r"(\S+) end", text)[1]
+        assert n == 1 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", new) and len(new) == len(v), (h, v, text)
+        seen.setdefault(v, set()).add(new)
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(values)
+    assert got[len(heads) * len(values) :] == [(x, 0) for x in kept]
+
+
 def test_native_plans(spark):
     df = spark.createDataFrame([(1, "a 97.51.17.173")], "doc_id long, text string")
     for out in (pii.apply(df), linededup.dedup(df)):
