@@ -13,18 +13,20 @@ from skyecho.plans import adapters as A
 from skyecho.plans.queries_time import QUERIES, SQL, query
 
 K = 10
+#: Targets of the pools by the ending of a query's name: a part of the days, so that the others stay candidates within the window, and all of them.
+TARGETS = {"": "day(d) <= 20", "_all_days": "true"}
 
 
-def pool(spark: SparkSession, sf_dir: str, vw_type: str = "centered", vw_size: int = 10, size: int = K, distance: str = "euclidean") -> DataFrame:
+def pool(spark: SparkSession, sf_dir: str, vw_type: str = "centered", vw_size: int = 10, size: int = K, distance: str = "euclidean", part: str = "") -> DataFrame:
     pcs = A.pc_space(spark, sf_dir)
-    targets = pcs.where(F.dayofmonth("d") <= 20).select("d")
+    targets = pcs.where(TARGETS[part]).select("d")
     return analogs.analog_pool(pcs, A.pc_observed(spark, sf_dir).select("d"), targets, size, vw_size, vw_type, distance)
 
 
-def _pool_sql(before: int, behind: int, size: int = K) -> str:
+def _pool_sql(before: int, behind: int, size: int = K, part: str = "") -> str:
     return f"""{A.PC}, {A.PC_OBSERVED},
-        t AS (SELECT * FROM space WHERE day(d) <= 20),
-        c AS (SELECT *, day(d) <= 20 AS is_target FROM space WHERE d IN (SELECT d FROM long)),
+        t AS (SELECT * FROM space WHERE {TARGETS[part]}),
+        c AS (SELECT *, {TARGETS[part]} AS is_target FROM space WHERE d IN (SELECT d FROM long)),
         pairs AS (SELECT t.season AS season, t.d AS d, c.d AS analog_d, list_distance(t.pc, c.pc) AS distance FROM t JOIN c ON t.season = c.season
             WHERE c.d <> t.d AND NOT (c.is_target AND datediff('day', t.d, c.d) BETWEEN -{before} AND {behind})),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY season, d ORDER BY distance, analog_d) - 1 AS rank FROM pairs),
@@ -38,9 +40,10 @@ def _shown(df: DataFrame) -> DataFrame:
     return A.rounded(df.withColumns({"season": F.col("season").cast("long"), "rank": F.col("rank").cast("long")}), ["distance"])
 
 
-for _kind, _size, _reach in (("centered", 10, (5, 5)), ("centered", 3, (2, 1)), ("forward", 4, (4, 0)), ("back", 4, (0, 4))):
-    query(f"knn_window_{_kind}_{_size}", f"WITH {_pool_sql(*_reach)} {_POOL_OUT}")(lambda spark, sf_dir, k=_kind, s=_size: _shown(pool(spark, sf_dir, k, s)))
-query("knn_euclidean", f"WITH {_pool_sql(0, 0)} {_POOL_OUT}")(lambda spark, sf_dir: _shown(pool(spark, sf_dir, vw_size=0)))
+for _part in TARGETS:
+    for _kind, _size, _reach in (("centered", 10, (5, 5)), ("centered", 3, (2, 1)), ("forward", 4, (4, 0)), ("back", 4, (0, 4))):
+        query(f"knn_window_{_kind}_{_size}{_part}", f"WITH {_pool_sql(*_reach, part=_part)} {_POOL_OUT}")(lambda spark, sf_dir, k=_kind, s=_size, p=_part: _shown(pool(spark, sf_dir, k, s, part=p)))
+    query(f"knn_euclidean{_part}", f"WITH {_pool_sql(0, 0, part=_part)} {_POOL_OUT}")(lambda spark, sf_dir, p=_part: _shown(pool(spark, sf_dir, vw_size=0, part=p)))
 
 
 @query("knn_mahalanobis")
@@ -68,24 +71,28 @@ _QUANTILE_OUT = f"{_HEAD}, 'quantilemap' AS method, round(max(value) FILTER (pic
 _BY = " GROUP BY season, d, variable"
 
 
-@query("recon_closest", f"WITH {_pool_sql(5, 5)}, {_OWN} {_CLOSEST}{_BY}")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir)))
+def _reconstructions(part: str) -> None:
+    own = f"WITH {_pool_sql(5, 5, part=part)}, {_OWN}"
 
+    @query(f"recon_closest{part}", f"{own} {_CLOSEST}{_BY}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir)))
 
-@query("recon_average", f"WITH {_pool_sql(5, 5)}, {_OWN} {_AVERAGE.format(m=5)}{_BY}")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), "average", 5))
+    @query(f"recon_average{part}", f"{own} {_AVERAGE.format(m=5)}{_BY}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), "average", 5))
 
+    @query(f"recon_quantilemap{part}", f"{own}, {A.PC_MAPPING}, {_QUANTILE} {_QUANTILE_OUT}{_BY}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), "quantilemap", mapping=A.pc_mapping(spark, sf_dir)))
 
-@query("recon_quantilemap", f"WITH {_pool_sql(5, 5)}, {_OWN}, {A.PC_MAPPING}, {_QUANTILE} {_QUANTILE_OUT}{_BY}")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), "quantilemap", mapping=A.pc_mapping(spark, sf_dir)))
+    @query(f"recon_sweep{part}", f"{own} {_CLOSEST}{_BY} UNION ALL {_AVERAGE.format(m=2)}{_BY} UNION ALL {_AVERAGE.format(m=5)}{_BY}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _recon_out(analogs.sweep(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), [K], [2, 5]))
 
 
-@query("recon_sweep", f"WITH {_pool_sql(5, 5)}, {_OWN} {_CLOSEST}{_BY} UNION ALL {_AVERAGE.format(m=2)}{_BY} UNION ALL {_AVERAGE.format(m=5)}{_BY}")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recon_out(analogs.sweep(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), [K], [2, 5]))
+for _part in TARGETS:
+    _reconstructions(_part)
 
 
 @query("nearest_gridpoint", "WITH lat AS (SELECT DISTINCT round(s_acctbal / 100) AS v FROM supplier), lon AS (SELECT DISTINCT CAST(s_nationkey AS DOUBLE) AS v FROM supplier), a AS (SELECT v, row_number() OVER (ORDER BY v DESC) - 1 AS i FROM lat), b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM lon) SELECT (SELECT i FROM a ORDER BY abs(v - 40.8), i LIMIT 1) AS ilat, (SELECT v FROM a ORDER BY abs(v - 40.8), i LIMIT 1) AS latitude, (SELECT i FROM b ORDER BY abs(v - 3.9), i LIMIT 1) AS ilon, (SELECT v FROM b ORDER BY abs(v - 3.9), i LIMIT 1) AS longitude")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from skyecho.plans import registry
 from skyecho.sources import fields, results, stations
 from skyecho.streaming import continuous
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture()
 def station_files(tmp_path):
@@ -88,3 +91,17 @@ def test_registry(spark):
     df = registry.entry(spark)
     assert df.columns == ["season", "d", "variable", "method", "value", "min_band", "max_band"]
     assert isinstance(analogs.BROADCAST_CELLS, int) and df.where(F.col("value").isNull()).count() == 0
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
+@pytest.mark.parametrize("name", ["knn_euclidean", "knn_window_centered_10", "recon_closest", "recon_quantilemap"])
+def test_every_day_is_a_target(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    days = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    for part, whole in (("_all_days", True), ("", False)):
+        got = registry.queries()[name + part](spark, DATA)
+        assert (got.select("d").distinct().count() == days) == whole
+        with duckdb.connect() as c:
+            c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+            want = c.execute(registry.oracle_sql()[name + part]).fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
