@@ -144,6 +144,15 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd, None).collect()} == {0.5} and quality.accepted(df, None).count() == 400
 
 
+def test_bounds_of_quality_training(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(quality, "fit", lambda good, unlabelled, prior: drawn.append((len(good), len(unlabelled))))
+    df = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = spark.range(7000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    quality.train(df, labels, F.lit(True))
+    assert drawn == [(6000, 12_000)]
+
+
 def brute_phrases(text: str) -> set[str]:
     seen, at = set(), 0
     while at < len(text):
