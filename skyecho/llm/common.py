@@ -34,12 +34,39 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/skyecho/{what}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffles of a query as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the lineage ends there, and a
-    lost executor costs no more than reading it again."""
-    path = scratch(df.sparkSession, what)
-    df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no more than reading it again. The shuffles that made it go."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clashing(df: DataFrame, *names: str, prefix: str | None = None) -> None:
+    """The one rule for names: an input may not have columns that the operator adds, in any case of letters."""
+    own = {n.lower() for n in names}
+    bad = [c for c in df.columns if c.lower() in own or (prefix and c.lower().startswith(prefix))]
+    if bad:
+        raise ValueError(f"the input has columns that the operator adds: {', '.join(bad)}; rename them first")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -3,33 +3,40 @@ DataFrame expressions only.
 
 1. Lines that repeat an earlier line letter by letter are found by hash; only the
    first of each goes on.
-2. A line is the set of its words. A table of fixed size counts all words by
-   hash; the count, then the hash, orders the words of every line, rare first.
-3. Two sets with a Jaccard similarity of ``percent`` in 100 share at least
-   ``SHARED`` words of their prefixes, which are longer than for one word by
-   ``SHARED - 1``. Prefix entries meet by word under a length and a positional
-   filter, and pairs with fewer common entries go.
-4. Words in the prefixes of more than ``HOT`` lines are first compared with the
-   earliest of those lines only; what that removes is looked up no more, so a
-   crowd of near copies costs a pair per member.
+2. A line is the set of its words. All words are counted exactly; a table of fixed
+   size keeps the largest count of each bucket of words, which orders the words of
+   every line, rare first. Words of a single line are left out.
+3. Crowds of near copies are thinned first: lines that agree in a signature (the
+   two least, or the two greatest, of their word hashes in some order) are
+   compared with the first of them only. What that removes is looked up no more,
+   except as the earlier line of another.
+4. Prefix entries meet by word. The join itself tests size, place and a bitmap of
+   the words' parities before it makes a row: the longer line brings its whole
+   prefix, the shorter one only the part that suffices for it. Frequent words are
+   dealt by ranges of line sizes, of which only neighbours meet.
 5. The pairs left are verified on their whole sets, and the later line of each
    match goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import written
+from skyecho.llm.common import clashing, discard, written
 
-SKETCH_BITS = 20
-SHARED = 2
-HOT = 32
+#: Eight buckets of words to each of 2^20 numbers.
+SKETCH_BITS = 23
+#: Words of so many lines are dealt by ranges of line sizes.
+HOT = 64
 #: Rows of a table with up to a few dozen bytes each that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
-#: How arrays of hashes are written: a dictionary of them would overflow.
-HASHES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+#: Arrays of word hashes repeat their frequent words; the dictionary may take 16 MB of a file.
+HASHES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.dictionary.page.size": str(16 << 20)}
+#: What an entry must not be met as (the longer line; the shorter one), and whether its line is already gone.
+NOT_PROBE, NOT_INDEX, GONE = 1, 2, 4
 
 
 def _joined(left: DataFrame, right: DataFrame, rows: int, on: list[str] | Column, how: str) -> DataFrame:
@@ -37,18 +44,19 @@ def _joined(left: DataFrame, right: DataFrame, rows: int, on: list[str] | Column
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
-def _rarity(sets: DataFrame, bits: int) -> Column:
-    """An array with a step for each bucket of words, four times log2 of its count, times 2^56."""
-    spark = sets.sparkSession
-    side = 1 << (bits // 2)
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("c"))
-    steps = counts.select("bucket", F.least(F.lit(120), F.floor(F.log2(F.col("c") + 1) * 4)).cast("int").alias("s"))
-    table = [0] * (1 << bits)  # of fixed size
-    rows = steps.groupBy((F.col("bucket") / side).cast("int").alias("row")).agg(F.collect_list(F.struct("bucket", "s")).alias("x")).select(F.col("x.bucket").alias("b"), F.col("x.s").alias("s"))
-    for r in rows.toLocalIterator():
-        for b, s in zip(r["b"], r["s"], strict=True):
-            table[b] = s << 56
-    return spark.createDataFrame([(table,)], "t array<bigint>", verifySchema=False).scalar()
+def _rarity(sets: DataFrame, bits: int) -> DataFrame:
+    """The table (one row ``t``, an array of 2^(``bits`` - 3) numbers) of eight steps a number: for each bucket of words
+    1 + four times log2 of the largest count of any of its words, 0 if each is in one line only."""
+    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    step = F.least(F.lit(120), F.floor(F.log2(F.col("c")) * 4) + 1).cast("long")
+    places = 1 << (bits - 3)
+    found = counts.select(F.shiftright("w", 3).bitwiseAND(F.lit(places - 1)).cast("int").alias("at"), (F.col("w").bitwiseAND(F.lit(7)) * 8).cast("int").alias("turn"), step.alias("s"))
+    # Of fixed size: a number for each place, whether any word is there or not.
+    packed = found.groupBy("at", "turn").agg(F.max("s").alias("s")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(s, turn)")).alias("x"))
+    table = written(packed, "line-rarity")
+    every = table.sparkSession.range(places).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("x")).unionByName(table)
+    whole = every.groupBy("at").agg(F.max(F.struct(F.col("x") != 0, "x"))["x"].alias("x"))
+    return written(whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("t")), "line-rarity")
 
 
 def _spaced(text: Column) -> Column:
@@ -65,10 +73,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), F.col("a") == F.col("line_id_a")).join(side("b"), F.col("b") == F.col("line_id_b"))
     common = F.size(F.array_intersect("words_a", "words_b"))
     match = (F.lit(100) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - common)) & ~F.col("place_a").eqNullSafe(F.col("place_b"))
-    return both.where(match).select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct()
-
-
-def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, shared: int = SHARED, hot: int = HOT) -> DataFrame:
+    late = written(both.where(match).select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct(), "lines-gone")
+    discard(wanted)
+    return late
+
+
+def _alike(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+    """Whether sets of m <= n words with these parities can be similar enough: the parities that differ are at most
+    as many as the words that only one of the sets has."""
+    differ = F.bit_count(bits.bitwiseXOR(other))
+    return (F.lit(100) * m >= F.lit(percent) * n) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m))
+
+
+def _thinned(sets: DataFrame, percent: int) -> DataFrame:
+    """The ids of lines that match the first line with the same signature."""
+    signed = sets.select("line_id", F.explode("signs").alias("sign"))
+    several = written(signed.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"), "line-signs")
+    crowd = _joined(signed, several, several.count(), ["sign"], "left_semi").join(sets.select("line_id", F.struct("_id", "_hash", "no").alias("place"), "n", "bits"), "line_id")
+    crowd = written(crowd, "line-crowds")
+    lead = crowd.groupBy("sign").agg(F.min(F.struct("place", "line_id", "n", "bits")).alias("x")).select("sign", F.col("x.line_id").alias("a"), F.col("x.n").alias("n_a"), F.col("x.bits").alias("bits_a"))
+    long, short = F.greatest("n", "n_a"), F.least("n", "n_a")
+    pairs = crowd.join(lead, "sign").where((F.col("line_id") != F.col("a")) & _alike(long, short, F.col("bits"), F.col("bits_a"), percent))
+    pairs = written(pairs.select("a", F.col("line_id").alias("b")).distinct(), "line-pairs")
+    gone = _verified(pairs, sets, percent)
+    discard(several, crowd, pairs)
+    return gone
+
+
+def _met(sets: DataFrame, gone: DataFrame, percent: int, bits: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of lines, not both gone, that share a word of their prefixes and pass the filters."""
+    flagged = _joined(sets, gone.withColumn("gone", F.lit(GONE)), gone.count(), ["line_id"], "left")
+    table = _rarity(sets, bits)
+    places = (1 << (bits - 3)) - 1
+    # A step of rarity above 56 bits of hash. The least word that a similar line must share stands among the first n - least + 1.
+    step = "shiftleft(shiftrightunsigned(get(t, cast(shiftright(w, 3) & {0} as int)), cast((w & 7) * 8 as int)) & 127, 56) | w".format(places)
+    ordered = F.sort_array(F.expr(f"transform(words, w -> {step})"))
+    ranked = flagged.withColumn("t", table.scalar()).select("line_id", "n", "bits", F.coalesce("gone", F.lit(0)).alias("gone"), F.slice(ordered, F.lit(1), F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")).alias("prefix"))
+    entries = ranked.select("line_id", "n", "bits", "gone", F.posexplode_outer("prefix").alias("pos", "word")).where(F.shiftrightunsigned("word", 56) > 0)
+    # As the shorter line: what remains from this word on must reach the overlap of two sets of n words.
+    index = F.expr(f"{100 + percent}L * (n - pos) >= {2 * percent}L * n")
+    often = F.shiftrightunsigned("word", 56) > 4 * math.log2(hot)
+    # Sizes that differ by up to 100 / percent fall into one range or two neighbours.
+    size = F.floor(F.log(F.col("n")) / math.log(100.0001 / percent)).cast("int")
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("pos").cast("long"), 3)
+    entry = lambda key, flags: F.struct(key.alias("key"), (place + flags + F.col("gone")).alias("place"))
+    word = F.col("word").bitwiseAND(F.lit((1 << 40) - 1))
+    own = F.when(often, F.xxhash64("word", size)).otherwise(word)
+    role = F.when(index, F.lit(0)).otherwise(F.lit(NOT_INDEX))
+    dealt = F.when(often & index, F.array(entry(own, role), entry(F.xxhash64("word", size + 1), F.lit(NOT_PROBE)))).otherwise(F.array(entry(own, role)))
+    entries = entries.select("line_id", "bits", F.explode_outer(dealt).alias("e")).select(F.col("e.key").alias("key"), F.col("e.place").alias("place"), "line_id", "bits")
+    x, y = (entries.select(*(F.col(c).alias(f"{c}_{s}") for c in entries.columns)) for s in "xy")
+    n, m = F.shiftright("place_x", 32), F.shiftright("place_y", 32)
+    at = lambda p: F.shiftrightunsigned(F.col(p), 3).bitwiseAND(F.lit((1 << 29) - 1))
+    # Conditions of both sides, so that both read the same exchange.
+    roles = F.col("place_x").bitwiseAND(F.lit(NOT_PROBE)) + F.col("place_y").bitwiseAND(F.lit(NOT_INDEX)) == 0
+    live = F.col("place_x").bitwiseAND(F.col("place_y")).bitwiseAND(F.lit(GONE)) == 0
+    once = (m < n) | ((m == n) & (F.col("line_id_x") < F.col("line_id_y")))
+    reach = F.lit(100 + percent) * F.least(n - at("place_x"), m - at("place_y")) >= F.lit(percent) * (n + m)
+    met = x.join(y, (F.col("key_x") == F.col("key_y")) & once & roles & live & _alike(n, m, F.col("bits_x"), F.col("bits_y"), percent) & reach)
+    return written(met.select(F.col("line_id_x").alias("a"), F.col("line_id_y").alias("b")).distinct(), "line-pairs")
+
+
+def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
     """The numbers (from 0) of the lines that match an earlier line, one row per document
     that has any: ``_id``, ``_hash`` (of the text) and ``lines``.
 
@@ -93,61 +159,26 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     fresh = rest.select("_id", "_hash", F.explode_outer(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get("_lines", i).alias("line")))).alias("x"))
     hashed_word = lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)
     words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
-    sets = fresh.select("_id", "_hash", "x.no", words.alias("words")).where(F.size("words") > 0)
-    sets = written(sets.select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words"), "line-sets", HASHES)
-
-    # Prefix entries: the rarest words of each line. A line of n words with r words behind this one can match one of
-    # m words, this being among the first ``shared`` in common, only if 100 n >= percent m, and if shared + r reach
-    # the overlap of percent (n + m) / (100 + percent) words: m is at most ``top``. The same holds the other way round.
-    least = F.ceil(F.col("n") * percent / 100).cast("int")
-    need = lambda n: F.least(F.lit(shared), F.ceil(n * percent / 100)).cast("int")
-    bucket = lambda w: w.bitwiseAND(F.lit((1 << sketch_bits) - 1)).cast("int")
-    ordered = F.sort_array(F.transform("words", lambda w: F.coalesce(F.get(F.col("_rarity"), bucket(w)), F.lit(0).cast("long")) + w))
-    ranked = sets.withColumn("_rarity", _rarity(sets, sketch_bits)).select("line_id", "n", F.slice(ordered, F.lit(1), F.col("n") - least + need(F.col("n"))).alias("prefix"))
-    entries = ranked.select("line_id", "n", F.posexplode_outer("prefix").alias("pos", "word"))
-    top = F.least(F.expr(f"100L * n div {percent}"), F.expr(f"(n - 1 - pos + {shared}) * {100 + percent}L div {percent} - n")).cast("long")
-    entries = entries.select("word", "line_id", (F.shiftleft(F.col("n").cast("long"), 32) + top).alias("sizes"))
-    size, limit = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
-    by_word = Window.partitionBy("word").orderBy("line_id")
-    before = by_word.rowsBetween(1 - hot, -1)
-    met = entries.select("word", "line_id", size(F.col("sizes")).alias("m"), limit(F.col("sizes")).alias("top"))
-    met = met.withColumns({"before": F.collect_list(F.struct("line_id", "m", "top")).over(before), "at": F.row_number().over(by_word)}).where("at > 1")
-    null = lambda kind: F.lit(None).cast(kind)
-    fits = F.filter("before", lambda x: (x["m"] <= F.col("top")) & (F.col("m") <= x["top"]))
-    pair = F.transform(fits, lambda x: F.struct(x["line_id"].alias("a"), F.col("line_id").alias("b"), null("long").alias("word"), null("long").alias("m"), null("long").alias("top"), F.least(x["m"], F.col("m")).alias("size")))
-    # From its line number HOT on a word counts as frequent; that line brings all before it as well.
-    entry = lambda x: F.struct(x["line_id"].alias("a"), null("long").alias("b"), F.col("word"), x["m"].alias("m"), x["top"].alias("top"), null("long").alias("size"))
-    own = F.array(entry(F.struct("line_id", "m", "top")))
-    made = F.when(F.col("at") < hot, pair).when(F.col("at") == hot, F.concat(F.transform("before", entry), own)).otherwise(own)
-    found = written(met.select(F.explode_outer(made).alias("x")).select("x.*").where("a is not null"), "line-pairs")
-    few = found.where("b is not null").select("a", "b", F.lit(1).cast("long").alias("c"), "size")
-    often = found.where("b is null").select(F.col("a").alias("line_id"), "word", "m", "top").distinct()
-    enough = need(F.col("size"))
-
-    gone: DataFrame | None = None
-    if not often.isEmpty():
-        # Each line with a frequent word against the earliest line with it.
-        often = written(often.join(sets.select("line_id", place.alias("place")), "line_id"), "frequent")
-        lead = often.groupBy("word").agg(F.min(F.struct("place", "line_id", "m", "top")).alias("lead")).select("word", F.col("lead.line_id").alias("a"), F.col("lead.m").alias("m_a"), F.col("lead.top").alias("top_a"))
-        first = often.join(lead, "word").where("line_id <> a and m <= top_a and m_a <= top").select("a", F.col("line_id").alias("b"), F.least("m", "m_a").alias("size"))
-        first = first.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("size").alias("size")).where(F.col("c") >= enough).select("a", "b")
-        gone = written(_verified(first, sets, percent), "lines-gone")
-        # Then against all, but for pairs of which both are gone; the earlier of a pair may be.
-        open_ = often.join(gone, "line_id", "left_anti").select("word", F.col("line_id").alias("x"), F.col("m").alias("m_x"), F.col("top").alias("top_x"))
-        pairs = open_.join(often.select("word", "line_id", "m", "top"), "word").where("x <> line_id and m <= top_x and m_x <= top")
-        pairs = pairs.select(F.least("x", "line_id").alias("a"), F.greatest("x", "line_id").alias("b"), "word", F.least("m", "m_x").alias("size"))
-        few = few.unionByName(pairs.distinct().select("a", "b", F.lit(1).cast("long").alias("c"), "size"))
-    total = few.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("size").alias("size")).where(F.col("c") >= enough).select("a", "b")
-    late = _verified(written(total, "line-pairs"), sets, percent)
-    gone = late if gone is None else gone.unionByName(late).distinct()
-    near = sets.join(gone, "line_id", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies"))
+    sets = fresh.select("_id", "_hash", "x.no", F.sort_array(words).alias("words")).where(F.size("words") > 0)
+    parities = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(1L, cast(w & 63 as int)))")
+    ends = lambda a, i: F.xxhash64(F.element_at(a, i), F.get(a, F.lit(1) if i == 1 else F.size(a) - 2), F.lit(i))
+    turned = F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
+    signs = F.array(ends(F.col("words"), 1), ends(F.col("words"), -1), F.xxhash64(ends(F.col("turned"), 1)), F.xxhash64(ends(F.col("turned"), -1)))
+    sets = sets.withColumn("turned", turned).select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words", parities.alias("bits"), signs.alias("signs"))
+    sets = written(sets, "line-sets", HASHES)
+    gone = _thinned(sets, percent)
+    pairs = _met(sets, gone, percent, sketch_bits, hot)
+    gone = gone.unionByName(_verified(pairs, sets, percent)).distinct()
+    near = written(sets.join(gone, "line_id", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies")), "line-near")
+    discard(sets, pairs)
     return copies.unionByName(near).groupBy("_id", "_hash").agg(F.array_distinct(F.flatten(F.collect_list("copies"))).alias("lines"))
 
 
 def dedup(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str = "text", counts: bool = False, **options: int) -> DataFrame:
     """``df`` without the lines that ``removals`` names; with ``counts`` also ``n_lines`` and
     ``n_removed``. Null texts stay null; a text may end up empty, its row stays.
-    Names that begin with __line are taken."""
+    Column names that begin with __line are an error, as are ``n_lines`` and ``n_removed`` with ``counts``."""
+    clashing(df, *(("n_lines", "n_removed") if counts else ()), prefix="__line")
     found = removals(df, percent, id_col, text, **options)
     found = written(found.select(F.col("_id").alias("__line_id"), F.col("_hash").alias("__line_hash"), F.col("lines").alias("__line_gone")), "line-removals")
     keyed = df.withColumn("__line_key", F.xxhash64(text))

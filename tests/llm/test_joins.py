@@ -102,7 +102,7 @@ def brute_lines(rows: list[tuple], percent: int = 80) -> dict:
     return dict(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 4, "sketch_bits": 6}, {"hot": 2, "shared": 1, "sketch_bits": 6}])
+@pytest.mark.parametrize("options", [{}, {"hot": 4, "sketch_bits": 6}, {"hot": 2, "sketch_bits": 9}, {"hot": 1}])
 def test_line_dedup(spark, options):
     rng = random.Random(7)
     lines = near_texts(60, 9, 12) + ["Hot line", "hot  LINE", "hot\tline", "a", "A", "", "   ", "one two three four five", "one two three four"]
