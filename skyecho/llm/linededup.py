@@ -6,7 +6,7 @@ DataFrame expressions only.
 2. A line is the set of its words. All words are counted exactly; a table of fixed
    size keeps the largest count of each bucket of words, which orders the words of
    every line, rare first. Words of a single line are left out.
-3. Crowds of near copies are thinned first: lines that agree in a signature (the
+3. Crowds of near copies are thinned first: lines of about one size that agree in a signature (the
    two least, or the two greatest, of their word hashes in some order) are
    compared with the first of them only. What that removes is looked up no more,
    except as the earlier line of another.
@@ -29,8 +29,8 @@ from skyecho.llm.common import clashing, discard, written
 
 #: Eight buckets of words to each of 2^20 numbers.
 SKETCH_BITS = 23
-#: Words of so many lines are dealt by ranges of line sizes.
-HOT = 64
+#: Words of so many lines are dealt by ranges of line sizes; so many lines with one signature are a crowd.
+HOT = 128
 #: Rows of a table with up to a few dozen bytes each that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
 #: Arrays of word hashes repeat their frequent words; the dictionary may take 16 MB of a file.
@@ -81,22 +81,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _alike(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
     """Whether sets of m <= n words with these parities can be similar enough: the parities that differ are at most
     as many as the words that only one of the sets has."""
-    differ = F.bit_count(bits.bitwiseXOR(other))
+    differ = F.bit_count(bits.getField("lo").bitwiseXOR(other.getField("lo"))) + F.bit_count(bits.getField("hi").bitwiseXOR(other.getField("hi")))
     return (F.lit(100) * m >= F.lit(percent) * n) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m))
 
 
-def _thinned(sets: DataFrame, percent: int) -> DataFrame:
-    """The ids of lines that match the first line with the same signature."""
-    signed = sets.select("line_id", F.explode("signs").alias("sign"))
-    several = written(signed.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"), "line-signs")
+def _size_range(n: Column, percent: int) -> Column:
+    """Sizes that differ by up to 100 / ``percent`` fall into one range or two neighbours."""
+    return F.floor(F.log(n) / math.log(100.0001 / percent)).cast("int")
+
+
+def _thinned(sets: DataFrame, percent: int, hot: int) -> DataFrame:
+    """The ids of lines that match the first line with the same signature and range of sizes, of ``hot`` or more such lines."""
+    signed = sets.withColumn("range", _size_range(F.col("n"), percent)).select("line_id", F.explode("signs").alias("sign"), "range")
+    signed = signed.select("line_id", F.xxhash64("sign", "range").alias("sign"))
+    several = written(signed.groupBy("sign").agg(F.count("*").alias("c")).where(F.col("c") >= hot).select("sign"), "line-signs")
     crowd = _joined(signed, several, several.count(), ["sign"], "left_semi").join(sets.select("line_id", F.struct("_id", "_hash", "no").alias("place"), "n", "bits"), "line_id")
     crowd = written(crowd, "line-crowds")
-    lead = crowd.groupBy("sign").agg(F.min(F.struct("place", "line_id", "n", "bits")).alias("x")).select("sign", F.col("x.line_id").alias("a"), F.col("x.n").alias("n_a"), F.col("x.bits").alias("bits_a"))
+    lead = written(crowd.groupBy("sign").agg(F.min(F.struct("place", "line_id", "n", "bits")).alias("x")).select("sign", F.col("x.line_id").alias("a"), F.col("x.n").alias("n_a"), F.col("x.bits").alias("bits_a")), "line-leads")
     long, short = F.greatest("n", "n_a"), F.least("n", "n_a")
-    pairs = crowd.join(lead, "sign").where((F.col("line_id") != F.col("a")) & _alike(long, short, F.col("bits"), F.col("bits_a"), percent))
+    pairs = _joined(crowd, lead, lead.count(), ["sign"], "inner").where((F.col("line_id") != F.col("a")) & _alike(long, short, F.col("bits"), F.col("bits_a"), percent))
     pairs = written(pairs.select("a", F.col("line_id").alias("b")).distinct(), "line-pairs")
     gone = _verified(pairs, sets, percent)
-    discard(several, crowd, pairs)
+    discard(several, crowd, lead, pairs)
     return gone
 
 
@@ -113,24 +119,24 @@ def _met(sets: DataFrame, gone: DataFrame, percent: int, bits: int, hot: int) ->
     # As the shorter line: what remains from this word on must reach the overlap of two sets of n words.
     index = F.expr(f"{100 + percent}L * (n - pos) >= {2 * percent}L * n")
     often = F.shiftrightunsigned("word", 56) > 4 * math.log2(hot)
-    # Sizes that differ by up to 100 / percent fall into one range or two neighbours.
-    size = F.floor(F.log(F.col("n")) / math.log(100.0001 / percent)).cast("int")
+    size = _size_range(F.col("n"), percent)
     place = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("pos").cast("long"), 3)
     entry = lambda key, flags: F.struct(key.alias("key"), (place + flags + F.col("gone")).alias("place"))
     word = F.col("word").bitwiseAND(F.lit((1 << 40) - 1))
     own = F.when(often, F.xxhash64("word", size)).otherwise(word)
     role = F.when(index, F.lit(0)).otherwise(F.lit(NOT_INDEX))
     dealt = F.when(often & index, F.array(entry(own, role), entry(F.xxhash64("word", size + 1), F.lit(NOT_PROBE)))).otherwise(F.array(entry(own, role)))
-    entries = entries.select("line_id", "bits", F.explode_outer(dealt).alias("e")).select(F.col("e.key").alias("key"), F.col("e.place").alias("place"), "line_id", "bits")
+    entries = entries.select("line_id", "bits", F.explode_outer(dealt).alias("e")).select(F.col("e.key").alias("key"), F.col("e.place").alias("place"), "line_id", F.col("bits.lo").alias("lo"), F.col("bits.hi").alias("hi"))
     x, y = (entries.select(*(F.col(c).alias(f"{c}_{s}") for c in entries.columns)) for s in "xy")
     n, m = F.shiftright("place_x", 32), F.shiftright("place_y", 32)
     at = lambda p: F.shiftrightunsigned(F.col(p), 3).bitwiseAND(F.lit((1 << 29) - 1))
+    parities = lambda s: F.struct(F.col(f"lo_{s}").alias("lo"), F.col(f"hi_{s}").alias("hi"))
     # Conditions of both sides, so that both read the same exchange.
     roles = F.col("place_x").bitwiseAND(F.lit(NOT_PROBE)) + F.col("place_y").bitwiseAND(F.lit(NOT_INDEX)) == 0
     live = F.col("place_x").bitwiseAND(F.col("place_y")).bitwiseAND(F.lit(GONE)) == 0
     once = (m < n) | ((m == n) & (F.col("line_id_x") < F.col("line_id_y")))
     reach = F.lit(100 + percent) * F.least(n - at("place_x"), m - at("place_y")) >= F.lit(percent) * (n + m)
-    met = x.join(y, (F.col("key_x") == F.col("key_y")) & once & roles & live & _alike(n, m, F.col("bits_x"), F.col("bits_y"), percent) & reach)
+    met = x.join(y, (F.col("key_x") == F.col("key_y")) & once & roles & live & _alike(n, m, parities("x"), parities("y"), percent) & reach)
     return written(met.select(F.col("line_id_x").alias("a"), F.col("line_id_y").alias("b")).distinct(), "line-pairs")
 
 
@@ -149,9 +155,12 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     lines = docs.select("_id", "_hash", F.posexplode_outer("_lines").alias("no", "line"))
     same = ["h1", "h2"]
     hashed = lines.select("_id", "_hash", "no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.trim("line").alias("_bare")).where("_bare <> ''").drop("_bare")
-    groups = hashed.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = hashed.join(groups, same).where(~place.eqNullSafe(F.col("first")))
+    several = written(hashed.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same), "line-copies")
+    met = written(_joined(hashed, several, several.count(), same, "left_semi"), "line-copies")
+    first = written(met.groupBy(*same).agg(F.min(place).alias("first")), "line-copies")
+    later = _joined(met, first, first.count(), same, "inner").where(~place.eqNullSafe(F.col("first")))
     copies = written(later.groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies")), "line-copies")
+    discard(several, met, first)
     # What goes on: first occurrences, as hashes of their words (56 bits, a step of rarity fits above them).
     both = (docs["_hash"] == F.col("_h")) & docs["_id"].eqNullSafe(F.col("_i"))
     rest = _joined(docs, copies.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "copies"), copies.count(), both, "left")
@@ -160,13 +169,14 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     hashed_word = lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)
     words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
     sets = fresh.select("_id", "_hash", "x.no", F.sort_array(words).alias("words")).where(F.size("words") > 0)
-    parities = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(1L, cast(w & 63 as int)))")
+    parity = "aggregate(words, 0L, (all, w) -> if(w & 64 = {0}, all ^ shiftleft(1L, cast(w & 63 as int)), all))"
+    parities = F.struct(F.expr(parity.format(0)).alias("lo"), F.expr(parity.format(64)).alias("hi"))
     ends = lambda a, i: F.xxhash64(F.element_at(a, i), F.get(a, F.lit(1) if i == 1 else F.size(a) - 2), F.lit(i))
     turned = F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
     signs = F.array(ends(F.col("words"), 1), ends(F.col("words"), -1), F.xxhash64(ends(F.col("turned"), 1)), F.xxhash64(ends(F.col("turned"), -1)))
     sets = sets.withColumn("turned", turned).select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words", parities.alias("bits"), signs.alias("signs"))
     sets = written(sets, "line-sets", HASHES)
-    gone = _thinned(sets, percent)
+    gone = _thinned(sets, percent, hot)
     pairs = _met(sets, gone, percent, sketch_bits, hot)
     gone = gone.unionByName(_verified(pairs, sets, percent)).distinct()
     near = written(sets.join(gone, "line_id", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies")), "line-near")
