@@ -112,7 +112,8 @@ def _met(sets: DataFrame, gone: DataFrame, percent: int, bits: int, hot: int) ->
     table = _rarity(sets, bits)
     places = (1 << (bits - 3)) - 1
     # A step of rarity above 56 bits of hash. The least word that a similar line must share stands among the first n - least + 1.
-    step = "shiftleft(shiftrightunsigned(get(t, cast(shiftright(w, 3) & {0} as int)), cast((w & 7) * 8 as int)) & 127, 56) | w".format(places)
+    # Never null, so that the arrays are sorted as plain numbers.
+    step = "coalesce(shiftleft(shiftrightunsigned(get(t, cast(shiftright(w, 3) & {0} as int)), cast((w & 7) * 8 as int)) & 127, 56) | w, 0L)".format(places)
     ordered = F.sort_array(F.expr(f"transform(words, w -> {step})"))
     ranked = flagged.withColumn("t", table.scalar()).select("line_id", "n", "bits", F.coalesce("gone", F.lit(0)).alias("gone"), F.slice(ordered, F.lit(1), F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")).alias("prefix"))
     entries = ranked.select("line_id", "n", "bits", "gone", F.posexplode_outer("prefix").alias("pos", "word")).where(F.shiftrightunsigned("word", 56) > 0)
@@ -168,7 +169,8 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     fresh = rest.select("_id", "_hash", F.explode_outer(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get("_lines", i).alias("line")))).alias("x"))
     hashed_word = lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)
     words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
-    sets = fresh.select("_id", "_hash", "x.no", F.sort_array(words).alias("words")).where(F.size("words") > 0)
+    # A filter on the words themselves would make them twice.
+    sets = fresh.where(F.trim("x.line") != "").select("_id", "_hash", "x.no", F.sort_array(words).alias("words"))
     parity = "aggregate(words, 0L, (all, w) -> if(w & 64 = {0}, all ^ shiftleft(1L, cast(w & 63 as int)), all))"
     parities = F.struct(F.expr(parity.format(0)).alias("lo"), F.expr(parity.format(64)).alias("hi"))
     ends = lambda a, i: F.xxhash64(F.element_at(a, i), F.get(a, F.lit(1) if i == 1 else F.size(a) - 2), F.lit(i))
