@@ -33,8 +33,8 @@ SKETCH_BITS = 23
 HOT = 128
 #: Rows of a table with up to a few dozen bytes each that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
-#: Arrays of word hashes repeat their frequent words; the dictionary may take 16 MB of a file.
-HASHES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.dictionary.page.size": str(16 << 20)}
+#: How arrays of hashes are written: a dictionary of them would overflow.
+HASHES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
 #: What an entry must not be met as (the longer line; the shorter one), and whether its line is already gone.
 NOT_PROBE, NOT_INDEX, GONE = 1, 2, 4
 
@@ -50,7 +50,7 @@ def _rarity(sets: DataFrame, bits: int) -> DataFrame:
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     step = F.least(F.lit(120), F.floor(F.log2(F.col("c")) * 4) + 1).cast("long")
     places = 1 << (bits - 3)
-    found = counts.select(F.shiftright("w", 3).bitwiseAND(F.lit(places - 1)).cast("int").alias("at"), (F.col("w").bitwiseAND(F.lit(7)) * 8).cast("int").alias("turn"), step.alias("s"))
+    found = counts.select(F.shiftright("w", 6).bitwiseAND(F.lit(places - 1)).cast("int").alias("at"), F.col("w").bitwiseAND(F.lit(56)).cast("int").alias("turn"), step.alias("s"))
     # Of fixed size: a number for each place, whether any word is there or not.
     packed = found.groupBy("at", "turn").agg(F.max("s").alias("s")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(s, turn)")).alias("x"))
     table = written(packed, "line-rarity")
@@ -92,10 +92,10 @@ def _size_range(n: Column, percent: int) -> Column:
 
 def _thinned(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     """The ids of lines that match the first line with the same signature and range of sizes, of ``hot`` or more such lines."""
-    signed = sets.withColumn("range", _size_range(F.col("n"), percent)).select("line_id", F.explode("signs").alias("sign"), "range")
-    signed = signed.select("line_id", F.xxhash64("sign", "range").alias("sign"))
+    signed = sets.withColumn("range", _size_range(F.col("n"), percent)).select("line_id", "_id", "_hash", "no", "n", "bits", "range", F.explode("signs").alias("sign"))
+    signed = signed.withColumn("sign", F.xxhash64("sign", "range")).drop("range")
     several = written(signed.groupBy("sign").agg(F.count("*").alias("c")).where(F.col("c") >= hot).select("sign"), "line-signs")
-    crowd = _joined(signed, several, several.count(), ["sign"], "left_semi").join(sets.select("line_id", F.struct("_id", "_hash", "no").alias("place"), "n", "bits"), "line_id")
+    crowd = _joined(signed, several, several.count(), ["sign"], "left_semi").select("sign", "line_id", F.struct("_id", "_hash", "no").alias("place"), "n", "bits")
     crowd = written(crowd, "line-crowds")
     lead = written(crowd.groupBy("sign").agg(F.min(F.struct("place", "line_id", "n", "bits")).alias("x")).select("sign", F.col("x.line_id").alias("a"), F.col("x.n").alias("n_a"), F.col("x.bits").alias("bits_a")), "line-leads")
     long, short = F.greatest("n", "n_a"), F.least("n", "n_a")
@@ -113,7 +113,7 @@ def _met(sets: DataFrame, gone: DataFrame, percent: int, bits: int, hot: int) ->
     places = (1 << (bits - 3)) - 1
     # A step of rarity above 56 bits of hash. The least word that a similar line must share stands among the first n - least + 1.
     # Never null, so that the arrays are sorted as plain numbers.
-    step = "coalesce(shiftleft(shiftrightunsigned(get(t, cast(shiftright(w, 3) & {0} as int)), cast((w & 7) * 8 as int)) & 127, 56) | w, 0L)".format(places)
+    step = "coalesce(shiftleft(shiftrightunsigned(get(t, cast(shiftright(w, 6) & {0} as int)), cast(w & 56 as int)), 56) | w, 0L)".format(places)
     ordered = F.sort_array(F.expr(f"transform(words, w -> {step})"))
     ranked = flagged.withColumn("t", table.scalar()).select("line_id", "n", "bits", F.coalesce("gone", F.lit(0)).alias("gone"), F.slice(ordered, F.lit(1), F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")).alias("prefix"))
     entries = ranked.select("line_id", "n", "bits", "gone", F.posexplode_outer("prefix").alias("pos", "word")).where(F.shiftrightunsigned("word", 56) > 0)
@@ -156,12 +156,13 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     lines = docs.select("_id", "_hash", F.posexplode_outer("_lines").alias("no", "line"))
     same = ["h1", "h2"]
     hashed = lines.select("_id", "_hash", "no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.trim("line").alias("_bare")).where("_bare <> ''").drop("_bare")
+    hashed = written(hashed, "line-hashes", HASHES)
     several = written(hashed.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same), "line-copies")
     met = written(_joined(hashed, several, several.count(), same, "left_semi"), "line-copies")
     first = written(met.groupBy(*same).agg(F.min(place).alias("first")), "line-copies")
     later = _joined(met, first, first.count(), same, "inner").where(~place.eqNullSafe(F.col("first")))
     copies = written(later.groupBy("_id", "_hash").agg(F.collect_set("no").alias("copies")), "line-copies")
-    discard(several, met, first)
+    discard(hashed, several, met, first)
     # What goes on: first occurrences, as hashes of their words (56 bits, a step of rarity fits above them).
     both = (docs["_hash"] == F.col("_h")) & docs["_id"].eqNullSafe(F.col("_i"))
     rest = _joined(docs, copies.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "copies"), copies.count(), both, "left")
@@ -171,12 +172,15 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
     # A filter on the words themselves would make them twice.
     sets = fresh.where(F.trim("x.line") != "").select("_id", "_hash", "x.no", F.sort_array(words).alias("words"))
-    parity = "aggregate(words, 0L, (all, w) -> if(w & 64 = {0}, all ^ shiftleft(1L, cast(w & 63 as int)), all))"
-    parities = F.struct(F.expr(parity.format(0)).alias("lo"), F.expr(parity.format(64)).alias("hi"))
-    ends = lambda a, i: F.xxhash64(F.element_at(a, i), F.get(a, F.lit(1) if i == 1 else F.size(a) - 2), F.lit(i))
-    turned = F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
-    signs = F.array(ends(F.col("words"), 1), ends(F.col("words"), -1), F.xxhash64(ends(F.col("turned"), 1)), F.xxhash64(ends(F.col("turned"), -1)))
-    sets = sets.withColumn("turned", turned).select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words", parities.alias("bits"), signs.alias("signs"))
+    # Parities of 128 kinds of words, by seven bits of each. A shift takes six bits of its count: ``every`` has the parities by
+    # those, ``high`` those of words with the seventh bit (as far as they have room), which ``low`` then leaves out.
+    every = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(1L, cast(w as int)))").alias("every")
+    high = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(w & 64, cast(w as int)))").alias("high")
+    ends = lambda a, b: F.xxhash64(F.get("words", F.lit(a) if a >= 0 else F.size("words") + a), F.get("words", F.lit(b) if b >= 0 else F.size("words") + b), F.lit(a))
+    sets = sets.select("_id", "_hash", "no", "words", every, high, F.transform("words", lambda w: F.xxhash64(w)).alias("turned"))
+    bits = F.struct(F.col("every").bitwiseXOR(F.shiftrightunsigned("high", 6)).alias("lo"), F.col("high").alias("hi"))
+    signs = F.array(ends(0, 1), ends(-1, -2), F.xxhash64(F.array_min("turned"), F.array_max("turned")))
+    sets = sets.select(F.monotonically_increasing_id().alias("line_id"), "_id", "_hash", "no", F.size("words").alias("n"), "words", bits.alias("bits"), signs.alias("signs"))
     sets = written(sets, "line-sets", HASHES)
     gone = _thinned(sets, percent, hot)
     pairs = _met(sets, gone, percent, sketch_bits, hot)
