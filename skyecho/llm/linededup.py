@@ -6,9 +6,9 @@ DataFrame expressions only.
 2. A line is the set of its words. All words are counted exactly; a table of fixed
    size keeps the largest count of each bucket of words, which orders the words of
    every line, rare first. Words of a single line are left out.
-3. Crowds of near copies are thinned first: lines of about one size that agree in a signature (the
-   two least, or the two greatest, of their word hashes in some order) are
-   compared with the first of them only. What that removes is looked up no more,
+3. Crowds of near copies are thinned first: lines of about one size that agree in
+   a signature (two of the least or greatest of their word hashes) are compared
+   with the first of them only. What that removes is looked up no more,
    except as the earlier line of another.
 4. Prefix entries meet by word. The join itself tests size, place and a bitmap of
    the words' parities before it makes a row: the longer line brings its whole
@@ -172,10 +172,10 @@ def removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text: str
     words = F.array_remove(F.array_distinct(F.transform(F.split(F.lower("x.line"), " ", -1), hashed_word)), hashed_word(F.lit("")))
     # A filter on the words themselves would make them twice.
     sets = fresh.where(F.trim("x.line") != "").select("_id", "_hash", "x.no", F.sort_array(words).alias("words"))
-    # Parities of 128 kinds of words, by seven bits of each. A shift takes six bits of its count: ``every`` has the parities by
-    # those, ``high`` those of words with the seventh bit (as far as they have room), which ``low`` then leaves out.
-    every = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(1L, cast(w as int)))").alias("every")
-    high = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(w & 64, cast(w as int)))").alias("high")
+    # Parities of 128 kinds of words, by seven bits of each: ``every`` has them by the first six, ``high`` those of words with
+    # the seventh bit (as far as there is room behind it), which ``lo`` then leaves out.
+    every = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(1L, cast(w & 63 as int)))").alias("every")
+    high = F.expr("aggregate(words, 0L, (all, w) -> all ^ shiftleft(w & 64, cast(w & 63 as int)))").alias("high")
     ends = lambda a, b: F.xxhash64(F.get("words", F.lit(a) if a >= 0 else F.size("words") + a), F.get("words", F.lit(b) if b >= 0 else F.size("words") + b), F.lit(a))
     sets = sets.select("_id", "_hash", "no", "words", every, high, F.transform("words", lambda w: F.xxhash64(w)).alias("turned"))
     bits = F.struct(F.col("every").bitwiseXOR(F.shiftrightunsigned("high", 6)).alias("lo"), F.col("high").alias("hi"))
