@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +52,3 @@ def flag_above(c: Column, threshold: float, inverse: bool = False) -> Column:
     """1 above the threshold and 0 up to it (``inverse``: the other way round); missing stays missing."""
     yes, no = (0, 1) if inverse else (1, 0)
     return F.when(c > threshold, yes).when(c <= threshold, no)
-
-
-RADIANS = math.pi / 180

@@ -7,41 +7,31 @@ value, min_band, max_band)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyecho.functions.calendar import window_reach
 from skyecho.functions.values import percentile_of_score
 from skyecho.semantics import REFERENCE, is_reference
 
-#: Candidates (rows times components) up to which they are broadcast; beyond, blocks of them are shuffled.
-BROADCAST_CELLS = 20_000_000
-BLOCK_ROWS = 50_000
+#: Targets and candidates of a season that meet in one task; more are dealt in blocks, and each pair of blocks meets once.
+TARGET_ROWS, CANDIDATE_ROWS = 16_384, 65_536
+#: Distances that a task holds at once.
+CELLS = 1 << 22
 
 
 def component_columns(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c.startswith("pc_")), key=lambda c: int(c[3:]))
 
 
-def widen(df: DataFrame, vector: str, n: int) -> DataFrame:
-    """An array column as n double columns pc_0 .., which keeps distances inside generated code."""
-    return df.select(*(c for c in df.columns if c != vector), *(F.get(vector, F.lit(i)).cast("double").alias(f"pc_{i}") for i in range(n)))
-
-
-def euclidean(n: int, left: str = "t", right: str = "c") -> Column:
-    total = F.lit(0.0)
-    for i in range(n):
-        diff = F.get(F.col(f"{left}.pc"), F.lit(i)) - F.get(F.col(f"{right}.pc"), F.lit(i))
-        total = total + diff * diff
-    return F.sqrt(total)
-
-
 def packed(pcs: DataFrame) -> DataFrame:
     """Components as one array, without days that miss one. A filter over many columns makes the planner's
-    inference of constraints explode; over one array it doesn't, and unrolled accesses stay in generated code."""
+    inference of constraints explode; over one array it doesn't."""
     pc = F.array(*(F.col(c).cast("double") for c in component_columns(pcs)))
     return pcs.select("season", "d", pc.alias("pc")).where(~F.exists("pc", lambda x: x.isNull()))
 
@@ -62,62 +52,106 @@ def inverse_covariances(pcs: DataFrame, n: int) -> dict[int, np.ndarray]:
     return out
 
 
-def mahalanobis(n: int, inverses: dict[int, np.ndarray], left: str = "t", right: str = "c") -> Column:
-    """Square root of the quadratic form by each season's inverse covariance; null in a season without one."""
-    out: Column = F.lit(None).cast("double")
-    for season, s in inverses.items():
-        diff = [F.get(F.col(f"{left}.pc"), F.lit(i)) - F.get(F.col(f"{right}.pc"), F.lit(i)) for i in range(n)]
-        total = F.lit(0.0)
-        for i in range(n):
-            total = total + diff[i] * diff[i] * float(s[i, i])
-            for j in range(i + 1, n):
-                total = total + diff[i] * diff[j] * (2 * float(s[i, j]))
-        out = F.when(F.col(f"{left}.season") == season, F.sqrt(F.greatest(total, F.lit(0.0)))).otherwise(out)
-    return out
-
-
-def analog_pool(pcs: DataFrame, observed: DataFrame, targets: DataFrame, size: int = 100, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean") -> DataFrame:
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = table.column("pc").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1) if table.num_rows else np.empty((0, 0))
+
+
+def _nearest(size: int, before: int, behind: int, keys: Sequence[str], inverses: dict[int, np.ndarray] | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of targets and one of candidates: each target's ``size`` nearest. One matrix product measures all
+    pairs; what may be among the nearest is measured again by its differences, which decides order and ties."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t, c = _matrix(left), _matrix(right)
+        day, other = left.column("day").to_numpy(), right.column("day").to_numpy()
+        order = np.argsort(other, kind="stable")
+        c, other, targeted = c[order], other[order], right.column("is_target").to_numpy(zero_copy_only=False)[order]
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        inverse = None
+        if len(t) and len(c) and inverses is not None:
+            inverse = inverses.get(left.column("season")[0].as_py())
+            if inverse is None:  # no distance in this season: the earliest days stand first
+                c = np.full_like(c, np.nan)
+        side = c if inverse is None else c @ inverse
+        own = (side * c).sum(axis=1)
+        most = float(np.nanmax(np.abs(own))) if len(own) and np.isfinite(own).any() else 0.0
+        step = max(1, CELLS // max(1, len(c)))
+        for at in range(0, len(t) if len(c) else 0, step):
+            part = t[at : at + step]
+            square = (part * part).sum(axis=1) if inverse is None else ((part @ inverse) * part).sum(axis=1)
+            near = square[:, None] + own[None, :] - 2 * (part @ side.T)
+            gap = other[None, :] - day[at : at + step, None]
+            near[(targeted[None, :] & (gap >= -before) & (gap <= behind)) | (gap == 0)] = np.inf
+            for i, row in enumerate(near):
+                open_ = int((row < np.inf).sum()) if not np.isnan(row).any() else 0
+                if open_ > size:
+                    reach = np.partition(row, size - 1)[size - 1] + 1e-9 * (1 + abs(square[i]) + most)
+                    places = np.flatnonzero(row <= reach)
+                else:
+                    places = np.flatnonzero(row != np.inf)
+                diff = c[places] - part[i]
+                moved = diff if inverse is None else diff @ inverse
+                distance = np.sqrt(np.maximum((moved * diff).sum(axis=1), 0))
+                best = np.lexsort((other[places], distance))[:size]
+                found.append((at + i, places[best], distance[best]))
+        who = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64)
+        places = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
+        rank = np.concatenate([np.arange(len(x[1])) for x in found]) if found else np.empty(0, np.int64)
+        distance = np.concatenate([x[2] for x in found]) if found else np.empty(0)
+        out = {k: left.column(k).take(pa.array(who)) for k in keys}
+        return pa.table(out | {"day": pa.array(day[who] if len(who) else np.empty(0), pa.int32()), "rank": pa.array(rank, pa.int32()), "analog": pa.array(other[places] if len(places) else np.empty(0), pa.int32()), "distance": pa.array(np.where(np.isnan(distance), None, distance) if np.isnan(distance).any() else distance, pa.float64())})
+
+    return run
+
+
+def analog_pool(pcs: DataFrame, observed: DataFrame, targets: DataFrame, size: int = 100, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean", by: Sequence[str] = ()) -> DataFrame:
     """For every target day the ``size`` nearest observed days of its season, nearest first, ties to
     the earlier day; a smaller pool if there are fewer.
 
     ``observed`` and ``targets`` have a column d. A day is no candidate for a target in
     whose exclusion window it lies if it is a target itself; the target's own day never is.
-    Days with a missing component take no part.
+    Days with a missing component take no part. With ``by``, columns of ``observed`` such as a
+    station, each of their values has candidates and pools of its own.
+
+    Targets and candidates are dealt in blocks of a season, and each pair of blocks is one
+    task: a matrix product, of which only the nearest leave the task.
     """
     names = component_columns(pcs)
     before, behind = window_reach(vw_size, vw_type)
     full = packed(pcs)
-    dates = targets.select("d").distinct()
-    marked = full.join(dates.withColumn("is_target", F.lit(True)), "d", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    t = marked.where("is_target").select("season", "d", "pc")
-    c = marked.join(observed.select("d").distinct(), "d", "left_semi").select("season", "d", "is_target", "pc")
-    if distance == "euclidean":
-        measure = euclidean(len(names))
-    elif distance == "mahalanobis":
-        measure = mahalanobis(len(names), inverse_covariances(full, len(names)))
-    else:
+    if distance not in ("euclidean", "mahalanobis"):
         raise ValueError(f"unknown distance {distance}")
-    gap = F.datediff(F.col("c.d"), F.col("t.d"))
-    excluded = (F.col("c.is_target") & gap.between(-before, behind)) | (gap == 0)
-    n = c.count()
-    if n * len(names) <= BROADCAST_CELLS:
-        joined = t.alias("t").join(F.broadcast(c).alias("c"), (F.col("t.season") == F.col("c.season")) & ~excluded)
-    else:
-        # Both sides by season and block of candidates: every target meets each block once.
-        blocks = -(-n // BLOCK_ROWS)
-        spread = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        dealt = c.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("int"))
-        joined = spread.alias("t").join(dealt.alias("c"), (F.col("t.season") == F.col("c.season")) & (F.col("t.block") == F.col("c.block")) & ~excluded)
-    pairs = joined.select(F.col("t.season").alias("season"), F.col("t.d").alias("d"), F.col("c.d").alias("analog_d"), measure.alias("distance"))
-    order = Window.partitionBy("season", "d").orderBy("distance", "analog_d")
-    # The comparison of the 1-based number itself lets the planner limit groups before the shuffle.
-    ranked = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
-    return ranked.select("season", "d", (F.col("n") - 1).alias("rank"), "analog_d", "distance")
+    inverses = inverse_covariances(full, len(names)) if distance == "mahalanobis" else None
+    days = observed.select(*by, "d").distinct()
+    t = full.join(targets.select("d").distinct(), "d", "left_semi")
+    marked = full.join(targets.select("d").distinct().withColumn("is_target", F.lit(True)), "d", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    c = marked.join(days, "d") if by else marked.join(days, "d", "left_semi")
+    if by:
+        t = t.crossJoin(F.broadcast(days.select(*by).distinct()))  # a row per station or variable
+    keys = [*by, "season"]
+    # One small job tells how many blocks there are.
+    counts = t.groupBy(*keys).agg(F.count("*").alias("t")).join(c.groupBy(*keys).agg(F.count("*").alias("c")), keys)
+    most = counts.agg(F.max("t"), F.max("c")).first()
+    here, there = (max(1, -(-(n or 0) // rows)) for n, rows in zip(most, (TARGET_ROWS, CANDIDATE_ROWS), strict=True))
+    block = lambda n: F.pmod(F.xxhash64("d"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # New names on one side, as both come from one table.
+    left = t.select(*(F.col(k).alias(k) for k in keys), F.unix_date("d").alias("day"), F.col("pc").alias("pc"), block(here).alias("_t"), every(there).alias("_c"))
+    right = c.select(*keys, F.unix_date("d").alias("day"), "is_target", "pc", block(there).alias("_c"), every(here).alias("_t"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keys).schema)
+    met = left.groupBy(*keys, "_t", "_c").cogroup(right.groupBy(*keys, "_t", "_c"))
+    near = met.applyInArrow(_nearest(size, before, behind, keys, inverses), f"{kinds}, day int, rank int, analog int, distance double")
+    if there > 1:
+        order = Window.partitionBy(*keys, "day").orderBy("distance", "analog")
+        # The comparison of the 1-based number itself lets the planner limit groups before the shuffle.
+        near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).withColumn("rank", F.col("n") - 1)
+    return near.select(*keys, F.date_from_unix_date("day").alias("d"), "rank", F.date_from_unix_date("analog").alias("analog_d"), "distance")
 
 
 def observed_pool(pool: DataFrame, observed: DataFrame, value: str = "value", keys: Sequence[str] = ("variable",)) -> DataFrame:
-    """The pool with the observed value (of each variable) on every analog day."""
-    return pool.join(observed.select(F.col("d").alias("analog_d"), *keys, F.col(value).alias("value")), "analog_d")
+    """The pool with the observed value (of each variable) on every analog day; columns that both have, such as a station, agree."""
+    on = ["analog_d", *(k for k in keys if k in pool.columns)]
+    return pool.join(observed.select(F.col("d").alias("analog_d"), *keys, F.col(value).alias("value")), on)
 
 
 def closest(pool: DataFrame, keys: Sequence[str] = ("season", "d", "variable")) -> DataFrame:
@@ -157,44 +191,72 @@ def quantile_map(pool: DataFrame, mapping: DataFrame, keys: Sequence[str] = ("se
     return chosen.groupBy(*keys).agg(F.min_by("value", by).alias("value"), F.min("value").alias("min_band"), F.max("value").alias("max_band")).withColumn("method", F.lit("quantilemap"))
 
 
-def reconstruct(pool: DataFrame, observed: DataFrame, method: str = "closest", sample: int | None = None, mapping: DataFrame | None = None, mode: str = REFERENCE) -> DataFrame:
-    """One method on a pool and long observations (d, variable, value)."""
-    own = observed_pool(pool, observed)
+def reconstruct(pool: DataFrame, observed: DataFrame, method: str = "closest", sample: int | None = None, mapping: DataFrame | None = None, mode: str = REFERENCE, by: Sequence[str] = ()) -> DataFrame:
+    """One method on a pool and long observations (``by``, d, variable, value)."""
+    keys = (*by, "season", "d", "variable")
+    own = observed_pool(pool, observed, keys=(*by, "variable"))
     if method == "closest":
-        return closest(own)
+        return closest(own, keys)
     if method == "average":
         if sample is None:
             raise ValueError("average needs a sample size")
-        return weighted_average(own, sample, mode=mode)
+        return weighted_average(own, sample, keys, mode)
     if method == "quantilemap":
         if mapping is None:
             raise ValueError("quantilemap needs a mapping variable")
-        return quantile_map(own, mapping)
+        return quantile_map(own, mapping, keys)
     raise ValueError(f"unknown method {method}")
 
 
-def sweep(pool: DataFrame, observed: DataFrame, pool_sizes: Sequence[int], samples: Sequence[int], mapping: DataFrame | None = None, mode: str = REFERENCE) -> DataFrame:
+def sweep(pool: DataFrame, observed: DataFrame, pool_sizes: Sequence[int], samples: Sequence[int], mapping: DataFrame | None = None, mode: str = REFERENCE, by: Sequence[str] = ()) -> DataFrame:
     """closest and averages on the smallest pool, quantile mapping on each: all out of one pool of the
     largest size, as smaller ones are its first ranks."""
-    own = observed_pool(pool, observed)
+    keys = (*by, "season", "d", "variable")
+    own = observed_pool(pool, observed, keys=(*by, "variable"))
     least = own.where(F.col("rank") < min(pool_sizes))
-    parts = [closest(least), *(weighted_average(least, m, mode=mode) for m in samples)]
+    parts = [closest(least, keys), *(weighted_average(least, m, keys, mode) for m in samples)]
     if mapping is not None:
-        parts += [quantile_map(own.where(F.col("rank") < k), mapping).withColumn("method", F.lit(f"quantilemap{k}")) for k in pool_sizes]
+        parts += [quantile_map(own.where(F.col("rank") < k), mapping, keys).withColumn("method", F.lit(f"quantilemap{k}")) for k in pool_sizes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def candidate_days(observations: DataFrame, by: Sequence[str] = (), mode: str = REFERENCE) -> DataFrame:
+    """The days that can be analogs. ``reference``: those on which every variable (of the station) is observed;
+    ``standard``: each variable's own, with a column ``variable``."""
+    known = observations.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    if not is_reference(mode):
+        return known.select(*by, "variable", "d").distinct()
+    kept = known.groupBy(*by, "d").agg(F.count_distinct("variable").alias("n"))
+    wanted = observations.groupBy(*by).agg(F.count_distinct("variable").alias("n"))
+    # A row per station; without stations a single number.
+    both = kept.join(F.broadcast(wanted), [*by, "n"], "left_semi")
+    return both.select(*by, "d")
+
+
+def reconstruct_all(pcs: DataFrame, observations: DataFrame, dates: DataFrame, pool_sizes: Sequence[int], samples: Sequence[int], mapping: DataFrame | None = None, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean", mode: str = REFERENCE) -> DataFrame:
+    """Every station, variable and method in one plan: ``station, season, d, variable, method`` and the values.
+    ``sources.results.write_reconstructions`` stores it by station, variable and method."""
+    by = ("station",) if is_reference(mode) else ("station", "variable")
+    days = candidate_days(observations, ("station",), mode)
+    pool = analog_pool(pcs, days, dates, max(pool_sizes), vw_size, vw_type, distance, by)
+    return sweep(pool, observations, pool_sizes, samples, mapping, mode, ("station",))
+
+
 class Analogs:
-    """Pools and reconstructions of one predictor space and set of observations."""
+    """Pools and reconstructions of one predictor space and the observations (d, variable, value) of one station."""
 
     def __init__(self, pcs: DataFrame, observations: DataFrame, dates: DataFrame) -> None:
         self.pcs, self.observations, self.dates = pcs, observations, dates
 
-    def get_pool(self, size: int = 100, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean") -> DataFrame:
-        return analog_pool(self.pcs, self.observations.where(F.col("value").isNotNull()), self.dates, size, vw_size, vw_type, distance)
+    def get_pool(self, size: int = 100, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean", mode: str = REFERENCE) -> DataFrame:
+        """One pool for all variables (``reference``), or one for each (``standard``)."""
+        if vw_size < 10:
+            warnings.warn("an exclusion window under 10 days lets analogs be of the target's own weather", stacklevel=2)
+        by = () if is_reference(mode) else ("variable",)
+        return analog_pool(self.pcs, candidate_days(self.observations, (), mode), self.dates, size, vw_size, vw_type, distance, by)
 
     def reconstruct(self, pool_size: int = 100, method: str = "closest", sample_size: int | None = None, mapping_variable: DataFrame | None = None, vw_size: int = 10, vw_type: str = "centered", distance: str = "euclidean", mode: str = REFERENCE) -> DataFrame:
-        return reconstruct(self.get_pool(pool_size, vw_size, vw_type, distance), self.observations, method, sample_size, mapping_variable, mode)
+        return reconstruct(self.get_pool(pool_size, vw_size, vw_type, distance, mode), self.observations, method, sample_size, mapping_variable, mode)

@@ -33,45 +33,61 @@ def nearest_gridpoint(grid: DataFrame, latitude: float, longitude: float) -> Dat
     return a.withColumn("_1", F.lit(1)).join(b.withColumn("_1", F.lit(1)), "_1").drop("_1")
 
 
-def nearest_cells(points: DataFrame, grid: DataFrame, key: str = "code") -> DataFrame:
-    """The nearest cell of many points: one pass over the small arrays of both axes."""
-    axes = [axis(grid, "latitude", True).agg(F.sort_array(F.collect_list("latitude"), asc=False)).first()[0], axis(grid, "longitude").agg(F.sort_array(F.collect_list("longitude"))).first()[0]]
+def axes(grid: DataFrame) -> DataFrame:
+    """``latitude`` and ``longitude`` (sorted arrays) by variable: one row each, out of one scan. ``write_field`` stores this
+    table beside a field, so that later readers need no scan at all."""
+    names = ["variable"] if "variable" in grid.columns else []
+    both = [F.sort_array(F.collect_set(F.col(c).cast("double"))).alias(c) for c in ("latitude", "longitude")]
+    return grid.groupBy(*names).agg(*both)
+
+
+def _axes(grid: DataFrame, known: DataFrame | None) -> tuple[list[float], list[float]]:
+    """Latitudes from north to south and longitudes from west to east over all variables."""
+    rows = (axes(grid) if known is None else known).collect()  # a row per variable
+    lats, lons = ({v for r in rows for v in r[c] or ()} for c in ("latitude", "longitude"))
+    return sorted(lats, reverse=True), sorted(lons)
+
+
+def nearest_cells(points: DataFrame, grid: DataFrame, key: str = "code", known: DataFrame | None = None) -> DataFrame:
+    """The nearest cell of many points, from the small arrays of both axes (``known``: as ``axes`` gives them)."""
     out = points
-    for name, values in zip(("latitude", "longitude"), axes, strict=True):
+    for name, values in zip(("latitude", "longitude"), _axes(grid, known), strict=True):
         choices = F.array(*(F.struct(F.abs(F.col(name) - v), F.lit(i), F.lit(float(v)).alias("at")) for i, v in enumerate(values)))
         out = out.withColumn(f"grid_{name}", F.array_min(choices)["at"])
     return out.select(key, "grid_latitude", "grid_longitude")
 
 
-def crop(grid: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float, buffer: tuple[int, int] = (0, 0), mode: str = REFERENCE) -> DataFrame:
+def crop(grid: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float, buffer: tuple[int, int] = (0, 0), mode: str = REFERENCE, known: DataFrame | None = None) -> DataFrame:
     """The cells between the nearest ones to the corners, widened by ``buffer`` (longitude, latitude) cells.
+    The axes come out of ``known`` (as ``axes`` gives them), or else out of one scan of the grid.
 
     ``reference``: without the southernmost row and the easternmost column, unless the box is one
     row or column wide; ``standard``: with both.
     """
-    lats = axis(grid, "latitude", True).orderBy("i").collect()
-    lons = axis(grid, "longitude").orderBy("i").collect()
+    lats, lons = _axes(grid, known)
     if not lats or not lons:
         return grid.limit(0)
-    near = lambda rows, name, p: min(rows, key=lambda r: (abs(r[name] - p), r["i"]))["i"]
-    south, north = near(lats, "latitude", lat_min), near(lats, "latitude", lat_max)
-    west, east = near(lons, "longitude", lon_min), near(lons, "longitude", lon_max)
+    near = lambda values, p: min(range(len(values)), key=lambda i: (abs(values[i] - p), i))
+    south, north = near(lats, lat_min), near(lats, lat_max)
+    west, east = near(lons, lon_min), near(lons, lon_max)
     south, north = min(south + buffer[1], len(lats) - 1), max(north - buffer[1], 0)
     west, east = max(west - buffer[0], 0), min(east + buffer[0], len(lons) - 1)
     exclusive = is_reference(mode)
 
-    def between(name: str, rows: list, first: int, last: int) -> Column:
+    def between(name: str, values: list[float], first: int, last: int) -> Column:
         stop = last if first == last or not exclusive else last - 1
-        own = [r[name] for r in rows if first <= r["i"] <= stop]
+        own = values[first : stop + 1]
         return F.col(name).between(min(own), max(own)) if own else F.lit(False)
 
     # Plain ranges of coordinates, which reach the scan.
     return grid.where(between("latitude", lats, north, south) & between("longitude", lons, west, east))
 
 
-def mosaic(grid: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Variables side by side along longitude: each begins one degree behind the last of the one before."""
-    spans = {r["variable"]: (r["a"], r["b"]) for r in grid.where(F.col("variable").isin(*variables)).groupBy("variable").agg(F.min("longitude").alias("a"), F.max("longitude").alias("b")).collect()}
+def mosaic(grid: DataFrame, variables: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+    """Variables side by side along longitude: each begins one degree behind the last of the one before.
+    With ``known`` axes (as ``axes`` gives them) the grid isn't scanned for them."""
+    rows = (axes(grid.where(F.col("variable").isin(*variables))) if known is None else known.where(F.col("variable").isin(*variables))).collect()  # a row per variable
+    spans = {r["variable"]: (min(r["longitude"]), max(r["longitude"])) for r in rows if r["longitude"]}
     shift: Column = F.lit(None).cast("double")
     last = None
     for v in variables:
@@ -89,10 +105,10 @@ def module(grid: DataFrame, keys: Sequence[str] = ("d", "latitude", "longitude")
     return grid.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value"))
 
 
-def separate(mosaic_: DataFrame, keys: Sequence[str] = ("d", "latitude")) -> DataFrame:
+def separate(mosaic_: DataFrame, keys: Sequence[str] = ("d", "latitude"), known: DataFrame | None = None) -> DataFrame:
     """A mosaic of two components as u, v and their module, on the longitudes of the first half.
-    Longitudes need one small pass; halves meet by their place, not by a self-join."""
-    lons = [r["longitude"] for r in axis(mosaic_, "longitude").orderBy("i").collect()]
+    Longitudes need one pass, unless ``known`` (axes of the mosaic) has them; halves meet by their place, not by a self-join."""
+    lons = _axes(mosaic_, known)[1]
     half = len(lons) // 2
     if not half:
         return mosaic_.limit(0).select(*keys, "longitude", F.col("value").alias("u"), F.col("value").alias("v"), F.col("value").alias("module"))

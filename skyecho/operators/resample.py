@@ -103,6 +103,43 @@ def month_year_bias(pairs: DataFrame, predicted: str = "predicted", observed: st
     return wide.withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)})
 
 
+def largest_bias(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The largest absolute value of a table of ``month_year_bias``, by which its colours are scaled."""
+    most = F.greatest(*(F.max(F.abs(F.col(f"m{m}"))) for m in range(1, 13)))
+    return table.groupBy(*keys).agg(most.alias("bias_max"))
+
+
+def reconstruction_ensemble(df: DataFrame, how: str, freq: str = "1M", keys: Sequence[str] = ("variable", "method"), d: str = "d", skipna: bool = True, mode: str = REFERENCE) -> DataFrame:
+    """Reconstructions of many methods (long: ``keys``, d, value and bands) by period, as ``period, model, value``, a model being
+    <variable>_<method>. Bands are left out. ``hydrosum`` with yearly periods sums hydrological years."""
+    hydro = how == "hydrosum" and freq.upper().endswith("Y")
+    plain = "sum" if how == "hydrosum" else how
+    if plain not in ("mean", "sum"):
+        raise ValueError(f"grouping {how} does not exist")
+    key = hydro_year(F.col(d), mode) if hydro else period(F.col(d), freq)
+    return df.groupBy(key.alias("period"), F.concat_ws("_", *keys).alias("model")).agg(aggregate(plain, finite("value"), skipna).alias("value"))
+
+
+def selected(df: DataFrame, labels: Sequence[str] | None = None, name: str = "model", d: str = "d") -> DataFrame:
+    """Rows of the given labels (None: all) with ``month`` and ``year`` beside them."""
+    out = df if labels is None else df.where(F.col(name).isin(*labels))
+    return out.withColumns({"month": F.month(d), "year": F.year(d)})
+
+
+def melted(wide: DataFrame, ids: Sequence[str], name: str = "model", value: str = "value") -> DataFrame:
+    """A wide table, a column per series, in long form."""
+    return wide.unpivot(list(ids), [c for c in wide.columns if c not in ids], name, value)
+
+
+def renamed(df: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """Every column whose name contains a key of ``parts`` gets its value as name; the first key that fits decides, and two
+    columns with one new name are an error."""
+    new = [next((to for part, to in parts.items() if part in c), c) for c in df.columns]
+    if len(set(new)) < len(new):
+        raise ValueError(f"several columns would have one name: {', '.join(sorted({n for n in new if new.count(n) > 1}))}")
+    return df.toDF(*new)
+
+
 def lower_adjacent_humidity(df: DataFrame, humidity: str = "humidity", precipitation: str = "precipitation", threshold: float = 0.25) -> DataFrame:
     """Quartiles of the humidity of rainy days and the lower adjacent value: the first quartile less 1.5 ranges."""
     wet = df.where(F.col(precipitation) >= threshold).agg(F.percentile(humidity, F.lit(0.25)).alias("q1"), F.percentile(humidity, F.lit(0.5)).alias("q2"), F.percentile(humidity, F.lit(0.75)).alias("q3"))

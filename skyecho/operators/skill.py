@@ -121,8 +121,9 @@ def taylor_points(observation: DataFrame, models: DataFrame) -> DataFrame:
     return t.select("model", "std", theta.alias("theta"), error.alias("rms"))
 
 
-def taylor_contour(reference_std: Column, std: Column, theta: Column) -> Column:
-    return F.sqrt(reference_std * reference_std + std * std - 2 * reference_std * std * F.cos(theta))
+def reference_std(observation: DataFrame) -> DataFrame:
+    """One row: ``std_ref``, the sample standard deviation of the observed values."""
+    return observation.agg(F.stddev_samp(F.col("value").cast("double")).alias("std_ref"))
 
 
 def equivalent_quantiles(pairs: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -167,6 +168,9 @@ class Skill:
     def skill(self, reference: str | None = None, threshold: float | None = None, mode: str = REFERENCE) -> DataFrame:
         return skill_table(self._role("observation"), self._role("reconstruction", "reanalysis"), reference, threshold, mode)
 
+    def reference_std(self) -> DataFrame:
+        return reference_std(self._role("observation"))
+
     def taylor(self) -> DataFrame:
         return taylor_points(self._role("observation"), self._role("reconstruction", "reanalysis"))
 

@@ -65,6 +65,13 @@ def pc_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("d", a.alias("a"), b.alias("b")).unpivot(["d"], ["a", "b"], "variable", "value").where("value is not null")
 
 
+def pc_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long observations of two variables that are missing (null) on different days."""
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("vec_id").cast("int"))
+    a, b = (F.when(F.col("vec_id") % gap != 0, (F.col("vec_id") * k % m).cast("double")) for gap, k, m in ((9, 37, 101), (7, 53, 17)))
+    return table(spark, sf_dir, "embeddings").select(day.alias("d"), a.alias("a"), b.alias("b")).unpivot(["d"], ["a", "b"], "variable", "value")
+
+
 def pc_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("vec_id").cast("int")).alias("d"), (F.col("vec_id") * 29 % 83).cast("double").alias("value"))
@@ -72,6 +79,7 @@ def pc_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PC = "space AS (SELECT label AS season, DATE '2000-01-01' + CAST(vec_id AS INTEGER) AS d, CAST(embedding AS DOUBLE[]) AS pc, vec_id FROM embeddings)"
 PC_OBSERVED = "long AS (SELECT DATE '2000-01-01' + CAST(vec_id AS INTEGER) AS d, 'a' AS variable, CAST(vec_id * 37 % 101 AS DOUBLE) AS value FROM embeddings WHERE vec_id % 9 <> 0 UNION ALL SELECT DATE '2000-01-01' + CAST(vec_id AS INTEGER), 'b', CAST(vec_id * 53 % 17 AS DOUBLE) FROM embeddings WHERE vec_id % 9 <> 0)"
+PC_GAPS = "long AS (SELECT DATE '2000-01-01' + CAST(vec_id AS INTEGER) AS d, 'a' AS variable, CASE WHEN vec_id % 9 <> 0 THEN CAST(vec_id * 37 % 101 AS DOUBLE) END AS value FROM embeddings UNION ALL SELECT DATE '2000-01-01' + CAST(vec_id AS INTEGER), 'b', CASE WHEN vec_id % 7 <> 0 THEN CAST(vec_id * 53 % 17 AS DOUBLE) END FROM embeddings)"
 PC_MAPPING = "mapping AS (SELECT DATE '2000-01-01' + CAST(vec_id AS INTEGER) AS d, CAST(vec_id * 29 % 83 AS DOUBLE) AS value FROM embeddings)"
 
 

@@ -7,32 +7,34 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyecho.operators import analogs, grid, pca, skill
-from skyecho.operators.resample import resample
+from skyecho.operators import analogs, grid, resample, skill
+from skyecho.operators.predictor import Predictor
 from skyecho.plans import adapters as A
-from skyecho.plans.queries_time import QUERIES, SQL, query
+from skyecho.plans.queries_time import query
 
 K = 10
-#: Targets of the pools by the ending of a query's name: a part of the days, so that the others stay candidates within the window, and all of them.
-TARGETS = {"": "day(d) <= 20", "_all_days": "true"}
 
 
-def pool(spark: SparkSession, sf_dir: str, vw_type: str = "centered", vw_size: int = 10, size: int = K, distance: str = "euclidean", part: str = "") -> DataFrame:
+def pool(spark: SparkSession, sf_dir: str, vw_type: str = "centered", vw_size: int = 10, size: int = K, distance: str = "euclidean") -> DataFrame:
+    """Pools of every day of the space."""
     pcs = A.pc_space(spark, sf_dir)
-    targets = pcs.where(TARGETS[part]).select("d")
-    return analogs.analog_pool(pcs, A.pc_observed(spark, sf_dir).select("d"), targets, size, vw_size, vw_type, distance)
+    return analogs.analog_pool(pcs, A.pc_observed(spark, sf_dir).select("d"), pcs.select("d"), size, vw_size, vw_type, distance)
 
 
-def _pool_sql(before: int, behind: int, size: int = K, part: str = "") -> str:
-    return f"""{A.PC}, {A.PC_OBSERVED},
-        t AS (SELECT * FROM space WHERE {TARGETS[part]}),
-        c AS (SELECT *, {TARGETS[part]} AS is_target FROM space WHERE d IN (SELECT d FROM long)),
-        pairs AS (SELECT t.season AS season, t.d AS d, c.d AS analog_d, list_distance(t.pc, c.pc) AS distance FROM t JOIN c ON t.season = c.season
-            WHERE c.d <> t.d AND NOT (c.is_target AND datediff('day', t.d, c.d) BETWEEN -{before} AND {behind})),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY season, d ORDER BY distance, analog_d) - 1 AS rank FROM pairs),
+def _ranked_sql(before: int, behind: int, size: int = K, by: str = "", measure: str = "list_distance(t.pc, c.pc)", names: str = "pairs", source: str = "space") -> str:
+    """CTEs t, pairs, ranked and pool out of ``space`` and candidates c (space rows, with ``by`` if given); every day is a target."""
+    own, key = (f"c.{by} AS {by}, ", f"{by}, ") if by else ("", "")
+    return f"""t AS (SELECT * FROM {source}),
+        {names} AS (SELECT {own}t.season AS season, t.d AS d, c.d AS analog_d, {measure} AS distance FROM t JOIN c ON t.season = c.season
+            WHERE c.d <> t.d AND NOT (datediff('day', t.d, c.d) BETWEEN -{before} AND {behind})),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY {key}season, d ORDER BY distance, analog_d) - 1 AS rank FROM {names}),
         pool AS (SELECT * FROM ranked WHERE rank < {size})"""
 
 
+def _pool_sql(before: int, behind: int, size: int = K) -> str:
+    return f"{A.PC}, {A.PC_OBSERVED}, c AS (SELECT * FROM space WHERE d IN (SELECT d FROM long)), {_ranked_sql(before, behind, size)}"
+
+
 _POOL_OUT = "SELECT CAST(season AS BIGINT) AS season, d, CAST(rank AS BIGINT) AS rank, analog_d, round(distance, 6) AS distance FROM pool"
 
 
@@ -40,13 +42,29 @@ def _shown(df: DataFrame) -> DataFrame:
     return A.rounded(df.withColumns({"season": F.col("season").cast("long"), "rank": F.col("rank").cast("long")}), ["distance"])
 
 
-for _part in TARGETS:
-    for _kind, _size, _reach in (("centered", 10, (5, 5)), ("centered", 3, (2, 1)), ("forward", 4, (4, 0)), ("back", 4, (0, 4))):
-        query(f"knn_window_{_kind}_{_size}{_part}", f"WITH {_pool_sql(*_reach, part=_part)} {_POOL_OUT}")(lambda spark, sf_dir, k=_kind, s=_size, p=_part: _shown(pool(spark, sf_dir, k, s, part=p)))
-    query(f"knn_euclidean{_part}", f"WITH {_pool_sql(0, 0, part=_part)} {_POOL_OUT}")(lambda spark, sf_dir, p=_part: _shown(pool(spark, sf_dir, vw_size=0, part=p)))
+for _kind, _size, _reach in (("centered", 10, (5, 5)), ("centered", 3, (2, 1)), ("forward", 4, (4, 0)), ("back", 4, (0, 4))):
+    query(f"knn_window_{_kind}_{_size}", f"WITH {_pool_sql(*_reach)} {_POOL_OUT}")(lambda spark, sf_dir, k=_kind, s=_size: _shown(pool(spark, sf_dir, k, s)))
+query("knn_euclidean", f"WITH {_pool_sql(0, 0)} {_POOL_OUT}")(lambda spark, sf_dir: _shown(pool(spark, sf_dir, vw_size=0)))
+
 
+def _mahalanobis_sql() -> str:
+    """The squared form by the factors L and D of each season's 4 x 4 covariance: sums of z^2 / D with L z = x."""
+    cov = ", ".join(f"covar_samp(pc[{i}], pc[{j}]) AS c{i}{j}" for i in range(1, 5) for j in range(i, 5))
+    steps = f"""cov AS (SELECT season, {cov} FROM space GROUP BY 1),
+        f1 AS (SELECT *, c12 / c11 AS l21, c13 / c11 AS l31, c14 / c11 AS l41 FROM cov),
+        f2 AS (SELECT *, c22 - l21 * l21 * c11 AS d2 FROM f1),
+        f3 AS (SELECT *, (c23 - l31 * l21 * c11) / d2 AS l32, (c24 - l41 * l21 * c11) / d2 AS l42 FROM f2),
+        f4 AS (SELECT *, c33 - l31 * l31 * c11 - l32 * l32 * d2 AS d3 FROM f3),
+        f5 AS (SELECT *, (c34 - l41 * l31 * c11 - l42 * l32 * d2) / d3 AS l43 FROM f4),
+        f6 AS (SELECT *, c44 - l41 * l41 * c11 - l42 * l42 * d2 - l43 * l43 * d3 AS d4 FROM f5),
+        z AS (SELECT s.season AS season, s.d AS d, pc[1] AS z1, pc[2] - l21 * pc[1] AS z2, pc, c11, d2, d3, d4, l31, l32, l41, l42, l43 FROM space s JOIN f6 ON s.season = f6.season),
+        y AS (SELECT *, pc[3] - l31 * z1 - l32 * z2 AS z3 FROM z),
+        w AS (SELECT season, d, [z1 / sqrt(c11), z2 / sqrt(d2), z3 / sqrt(d3), (pc[4] - l41 * z1 - l42 * z2 - l43 * z3) / sqrt(d4)] AS pc FROM y),
+        c AS (SELECT * FROM w WHERE d IN (SELECT d FROM long))"""
+    return f"WITH {A.PC}, {A.PC_OBSERVED}, {steps}, {_ranked_sql(5, 5, source='w')} {_POOL_OUT}"
 
-@query("knn_mahalanobis")
+
+@query("knn_mahalanobis", _mahalanobis_sql())
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     pcs = A.pc_space(spark, sf_dir, 4)
     return _shown(analogs.analog_pool(pcs, A.pc_observed(spark, sf_dir).select("d"), pcs.select("d"), K, distance="mahalanobis"))
@@ -71,28 +89,56 @@ _QUANTILE_OUT = f"{_HEAD}, 'quantilemap' AS method, round(max(value) FILTER (pic
 _BY = " GROUP BY season, d, variable"
 
 
-def _reconstructions(part: str) -> None:
-    own = f"WITH {_pool_sql(5, 5, part=part)}, {_OWN}"
+_POOLED = f"WITH {_pool_sql(5, 5)}, {_OWN}"
+
+
+@query("recon_closest", f"{_POOLED} {_CLOSEST}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir)))
+
+
+@query("recon_average", f"{_POOLED} {_AVERAGE.format(m=5)}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), "average", 5))
+
+
+@query("recon_quantilemap", f"{_POOLED}, {A.PC_MAPPING}, {_QUANTILE} {_QUANTILE_OUT}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recon_out(analogs.reconstruct(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), "quantilemap", mapping=A.pc_mapping(spark, sf_dir)))
+
+
+@query("recon_sweep", f"{_POOLED}, {A.PC_MAPPING}, {_QUANTILE} {_CLOSEST}{_BY} UNION ALL {_AVERAGE.format(m=2)}{_BY} UNION ALL {_AVERAGE.format(m=5)}{_BY} UNION ALL {_QUANTILE_OUT.replace('quantilemap', f'quantilemap{K}')}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recon_out(analogs.sweep(pool(spark, sf_dir), A.pc_observed(spark, sf_dir), [K], [2, 5], A.pc_mapping(spark, sf_dir)))
+
+
+_GAPS = f"{A.PC}, {A.PC_GAPS}"
+_GAPS_OWN = "own AS (SELECT pool.*, long.variable AS variable, long.value AS value FROM pool JOIN long ON pool.analog_d = long.d{on})"
+
+
+@query("recon_multivariable", f"WITH {_GAPS}, c AS (SELECT * FROM space WHERE d IN (SELECT d FROM long GROUP BY d HAVING count(value) = 2)), {_ranked_sql(5, 5)}, {_GAPS_OWN.format(on='')} {_CLOSEST}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pcs = A.pc_space(spark, sf_dir)
+    return _recon_out(analogs.Analogs(pcs, A.pc_gaps(spark, sf_dir), pcs.select("d")).reconstruct(K))
 
-    @query(f"recon_closest{part}", f"{own} {_CLOSEST}{_BY}")
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir)))
 
-    @query(f"recon_average{part}", f"{own} {_AVERAGE.format(m=5)}{_BY}")
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), "average", 5))
+@query("recon_multivariable_std", f"WITH {_GAPS}, c AS (SELECT space.*, variable FROM space JOIN long ON space.d = long.d WHERE value IS NOT NULL), {_ranked_sql(5, 5, by='variable')}, {_GAPS_OWN.format(on=' AND pool.variable = long.variable').replace('pool.*', 'pool.* EXCLUDE (variable)')} {_CLOSEST}{_BY}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pcs = A.pc_space(spark, sf_dir)
+    return _recon_out(analogs.Analogs(pcs, A.pc_gaps(spark, sf_dir), pcs.select("d")).reconstruct(K, mode="standard"))
 
-    @query(f"recon_quantilemap{part}", f"{own}, {A.PC_MAPPING}, {_QUANTILE} {_QUANTILE_OUT}{_BY}")
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _recon_out(analogs.reconstruct(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), "quantilemap", mapping=A.pc_mapping(spark, sf_dir)))
 
-    @query(f"recon_sweep{part}", f"{own} {_CLOSEST}{_BY} UNION ALL {_AVERAGE.format(m=2)}{_BY} UNION ALL {_AVERAGE.format(m=5)}{_BY}")
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _recon_out(analogs.sweep(pool(spark, sf_dir, part=part), A.pc_observed(spark, sf_dir), [K], [2, 5]))
+_STATIONS_OWN = "own AS (SELECT pool.*, s.variable AS variable, s.value AS value FROM pool JOIN s ON pool.analog_d = s.d AND pool.station = s.station)"
+_BY_STATION = [x.replace("CAST(season", "station, CAST(season") + " GROUP BY station, season, d, variable" for x in (_CLOSEST, _AVERAGE.format(m=3))]
 
 
-for _part in TARGETS:
-    _reconstructions(_part)
+@query("recon_all_stations", f"WITH {_GAPS}, s AS (SELECT station, d, variable, value FROM long, (VALUES ('east', 2), ('west', 5)) AS x(station, k) WHERE datediff('day', DATE '2000-01-01', d) % k <> 0), c AS (SELECT space.*, station FROM space JOIN (SELECT station, d FROM s GROUP BY 1, 2 HAVING count(value) = 2) q ON space.d = q.d), {_ranked_sql(5, 5, by='station')}, {_STATIONS_OWN} {' UNION ALL '.join(_BY_STATION)}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pcs = A.pc_space(spark, sf_dir)
+    every = F.explode(F.array(*(F.struct(F.lit(n).alias("station"), F.lit(k).alias("k")) for n, k in (("east", 2), ("west", 5)))))
+    observed = A.pc_gaps(spark, sf_dir).withColumn("x", every).where(F.datediff("d", F.lit("2000-01-01")) % F.col("x.k") != 0).select("x.station", "d", "variable", "value")
+    out = analogs.reconstruct_all(pcs, observed, pcs.select("d"), [K], [3])
+    return A.rounded(out.select("station", F.col("season").cast("long").alias("season"), "d", "variable", "method", "value", "min_band", "max_band"), ["value", "min_band", "max_band"])
 
 
 @query("nearest_gridpoint", "WITH lat AS (SELECT DISTINCT round(s_acctbal / 100) AS v FROM supplier), lon AS (SELECT DISTINCT CAST(s_nationkey AS DOUBLE) AS v FROM supplier), a AS (SELECT v, row_number() OVER (ORDER BY v DESC) - 1 AS i FROM lat), b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM lon) SELECT (SELECT i FROM a ORDER BY abs(v - 40.8), i LIMIT 1) AS ilat, (SELECT v FROM a ORDER BY abs(v - 40.8), i LIMIT 1) AS latitude, (SELECT i FROM b ORDER BY abs(v - 3.9), i LIMIT 1) AS ilon, (SELECT v FROM b ORDER BY abs(v - 3.9), i LIMIT 1) AS longitude")
@@ -182,35 +228,31 @@ _projection("reference")
 _projection("standard")
 
 
-def components(spark: SparkSession, sf_dir: str, npcs: int = 4, scaling: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The fitted modes of the quantity field, and every complete day's components."""
-    days = pca.complete_days(grid.anomalies(_quantity(spark, sf_dir), _SEASONS, True))
-    model = pca.fit(days, npcs)
-    return model, pca.project(days, model, scaling)
+def predictor(spark: SparkSession, sf_dir: str) -> Predictor:
+    """The quantity field by seasons."""
+    return Predictor(_quantity(spark, sf_dir), _SEASONS)
 
 
-@query("pca_pcs")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark, sf_dir)[1]
+for _scaling, _name in ((0, "pca_pcs_raw"), (1, "pca_pcs"), (2, "pca_pcs_times")):
+    query(_name)(lambda spark, sf_dir, k=_scaling: predictor(spark, sf_dir).pcs(4, k))
 
 
 @query("pca_modes")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark, sf_dir)[0].drop("loading")
+    return predictor(spark, sf_dir).fit(4).drop("loading")
 
 
 @query("pca_projection")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _quantity(spark, sf_dir)
     inside = F.col("d").between(*map(F.lit, _PERIOD))
-    model = pca.fit(pca.complete_days(grid.anomalies(q.where(inside), _SEASONS, True)), 4)
-    return pca.project(pca.complete_days(grid.anomalies(q.where(~inside), _SEASONS, True, base=q.where(inside))), model)
+    return Predictor(q, _SEASONS).pcs(4, training=_PERIOD, project=q.where(~inside))
 
 
 @query("recon_full_pipeline")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field, anomalies, components, pool, three methods, skill of each."""
-    pcs = components(spark, sf_dir)[1]
+    pcs = predictor(spark, sf_dir).pcs()
     observed = A.daily_obs(spark, sf_dir).select("d", F.lit("tmean").alias("variable"), F.col("tmean").alias("value"))
     mapping = A.daily_obs(spark, sf_dir).select("d", F.col("tmax").alias("value"))
     found = analogs.Analogs(pcs, observed, pcs.select("d").distinct())
@@ -268,6 +310,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rounded(pairs.groupBy("model").agg(skill.hss(F.col("obs"), F.col("sim"), None, 10.0, "standard").alias("hss")), ["hss"])
 
 
+@query("reference_std", f"WITH {A.MODELS} SELECT round(stddev_samp(value), 6) AS std_ref FROM obs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.rounded(skill.reference_std(A.models(spark, sf_dir)[0]), ["std_ref"])
+
+
+@query("reconstruction_ensemble", f"WITH {A.MODELS} SELECT CAST(date_trunc('month', d) AS DATE) AS period, 'tmean_' || model AS model, round(avg(value), 6) AS value FROM models GROUP BY 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = A.models(spark, sf_dir)[1].select("d", F.lit("tmean").alias("variable"), F.col("model").alias("method"), "value", F.lit(0.0).alias("min_band"), F.lit(0.0).alias("max_band"))
+    return A.rounded(resample.reconstruction_ensemble(made, "mean", "1M"), ["value"])
+
+
+@query("reconstruction_ensemble_hydrosum", f"WITH {A.MODELS} SELECT CAST(year(d) - CASE WHEN month(d) >= 10 THEN 1 ELSE 0 END AS BIGINT) AS period, 'tmean_' || model AS model, round(sum(value), 4) AS value FROM models GROUP BY 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = A.models(spark, sf_dir)[1].select("d", F.lit("tmean").alias("variable"), F.col("model").alias("method"), "value")
+    out = resample.reconstruction_ensemble(made, "hydrosum", "1Y")
+    return A.rounded(out.withColumn("period", F.col("period").cast("long")), ["value"], 4)
+
+
+@query("largest_month_bias", f"WITH {A.DAILY}, b AS (SELECT year(d), month(d), avg((tmax + tmin) / 2 - tmean) AS v FROM daily GROUP BY 1, 2) SELECT round(max(abs(v)), 6) AS bias_max FROM b")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = A.daily_obs(spark, sf_dir).select("d", ((F.col("tmax") + F.col("tmin")) / 2).alias("predicted"), F.col("tmean").alias("observed"))
+    return A.rounded(resample.largest_bias(resample.month_year_bias(pairs)), ["bias_max"])
+
+
+@query("selected_models", f"WITH {A.DAILY} SELECT d, 'tmax' AS model, round(tmax, 6) AS value, CAST(month(d) AS BIGINT) AS month, CAST(year(d) AS BIGINT) AS year FROM daily UNION ALL SELECT d, 'tmin', round(tmin, 6), month(d), year(d) FROM daily")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = resample.melted(A.daily_obs(spark, sf_dir), ["d"])
+    out = resample.selected(long, ["tmax", "tmin"])
+    return A.rounded(out.withColumns({"month": F.col("month").cast("long"), "year": F.col("year").cast("long")}), ["value"])
+
+
 @query("brier", f"WITH {_JOINED} SELECT model, round({_BS}, 6) AS bs FROM p GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = skill.paired(*A.models(spark, sf_dir))
@@ -313,6 +386,3 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs, models = A.models(spark, sf_dir)
     out = skill.Skill(obs, models).resample("1M", "mean", skipna=True).skill()
     return A.rounded(out.select("model", "bias"), ["bias"])
-
-
-_ = (resample, QUERIES, SQL)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyecho.functions import calendar, meteo
 from skyecho.functions.values import percentile_of_score
 from skyecho.operators import analogs, grid, indices, pca, resample, skill
+from skyecho.operators.predictor import Predictor
 
 D0 = date(2020, 1, 1)
 
@@ -89,11 +90,12 @@ def test_days_that_are_no_targets_stay_candidates(spark, space):
     assert got == [2, 0, 6]
 
 
-def test_pool_of_blocks_equals_broadcast(space, monkeypatch):
+def test_pool_of_many_blocks(space, monkeypatch):
     pcs, obs, _ = space
     want = sorted(map(tuple, analogs.analog_pool(pcs, obs, pcs.select("d"), 3).collect()))
-    monkeypatch.setattr(analogs, "BROADCAST_CELLS", 0)
-    monkeypatch.setattr(analogs, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(analogs, "TARGET_ROWS", 2)
+    monkeypatch.setattr(analogs, "CANDIDATE_ROWS", 3)
+    monkeypatch.setattr(analogs, "CELLS", 4)
     assert sorted(map(tuple, analogs.analog_pool(pcs, obs, pcs.select("d"), 3).collect())) == want
 
 
@@ -192,7 +194,69 @@ def test_pool_properties(space):
     assert all(r.d != r.analog_d and not -1 <= (r.analog_d - r.d).days <= 1 and r.rank < 5 for r in rows)
 
 
-def test_plans(space):
+def test_plans(space, monkeypatch):
     pcs, obs, _ = space
+    monkeypatch.setattr(analogs, "CANDIDATE_ROWS", 3)
     plan = analogs.analog_pool(pcs, obs, pcs.select("d"), 3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInArrow" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_days_without_one_variable_are_no_candidates(spark):
+    pcs = spark.createDataFrame([(0, day(i), float(i)) for i in (0, 20, 41)], "season int, d date, pc_0 double")
+    obs = spark.createDataFrame([(day(0), "x", 1.0), (day(0), "n", 1.0), (day(20), "x", 2.0), (day(20), "n", None), (day(41), "x", 3.0), (day(41), "n", 3.0)], "d date, variable string, value double")
+    own = analogs.Analogs(pcs, obs, pcs.select("d"))
+    value = lambda **k: {r.variable: r.value for r in own.reconstruct(5, **k).where(F.col("d") == day(0)).collect()}
+    assert value() == {"x": 3.0, "n": 3.0} and value(mode="standard") == {"x": 2.0, "n": 3.0}
+    with pytest.warns(UserWarning, match="under 10 days"):
+        own.get_pool(5, 3)
+
+
+def test_unknown_distance(space):
+    with pytest.raises(ValueError, match="unknown distance"):
+        analogs.analog_pool(space[0], space[1], space[0].select("d"), distance="cosine")
+
+
+def test_more_cells_than_days(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((30, 3)) @ rng.standard_normal((3, 20_000)) + 0.01 * rng.standard_normal((30, 20_000))
+    days = spark.createDataFrame([(0, day(i), row.tolist()) for i, row in enumerate(x)], "season int, d date, x array<double>")
+    model = pca.fit(days, 3)
+    pca.save(model, str(tmp_path / "modes"))
+    rows = pca.load(spark, str(tmp_path / "modes")).orderBy("mode").collect()
+    values, vectors = np.linalg.eigh(x @ x.T / 29)
+    assert [r.eigenvalue for r in rows] == pytest.approx(values[::-1][:3]) and sum(r.variance_fraction for r in rows) == pytest.approx(values[-3:].sum() / values.sum())
+    for k, r in enumerate(rows):
+        want = x.T @ vectors[:, -1 - k]
+        want /= np.linalg.norm(want) * np.sign(want[np.abs(want).argmax()])
+        assert np.allclose(r.loading, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("scaling", [0, 1, 2])
+def test_scalings_and_the_predictor(spark, scaling, tmp_path):
+    values = np.array([(1, 2, 0), (2, 1, 1), (3, 4, 2), (4, 3, 5)], float)
+    cells = spark.createDataFrame([(day(i), 0.0, float(j), float(v)) for i, row in enumerate(values) for j, v in enumerate(row)], "d date, latitude double, longitude double, value double")
+    z = (values - values.mean(axis=0)) / values.std(axis=0)
+    lam, vec = np.linalg.eigh(z.T @ z / 3)
+    lam, vec = lam[::-1], vec[:, ::-1]
+    want = np.abs(z @ vec * {0: 1, 1: 1 / np.sqrt(lam), 2: np.sqrt(lam)}[scaling])
+    own = Predictor(cells)
+    got = [[abs(r.pc_0), abs(r.pc_1), abs(r.pc_2)] for r in own.pcs(3, scaling).orderBy("d").collect()]
+    assert np.allclose(got, want, atol=1e-6)
+    own.save(str(tmp_path / "modes"))
+    again = Predictor(cells).load(str(tmp_path / "modes")).pcs(3, scaling, project=cells)
+    assert np.allclose([[abs(r.pc_0), abs(r.pc_1), abs(r.pc_2)] for r in again.orderBy("d").collect()], want, atol=1e-6)
+    split = Predictor(cells).pcs(1, scaling, training=(day(0), day(1)))
+    assert split.count() == 4
+
+
+def test_tables_of_verification(spark):
+    obs = spark.createDataFrame([(day(i), float(v)) for i, v in enumerate((1, 2, 3, 4))], "d date, value double")
+    assert skill.reference_std(obs).first().std_ref == pytest.approx(1.290994449)
+    wide = spark.createDataFrame([(day(0), 1.0, 2.0)], "d date, my_tmax double, my_tmin double")
+    assert resample.renamed(wide, {"tmax": "TMAX", "tmin": "TMIN"}).columns == ["d", "TMAX", "TMIN"]
+    with pytest.raises(ValueError, match="one name"):
+        resample.renamed(wide, {"my_t": "T"})
+    got = resample.selected(resample.melted(wide, ["d"]), ["my_tmin"]).first()
+    assert (got.model, got.value, got.month, got.year) == ("my_tmin", 2.0, 1, 2020)
+    pairs = spark.createDataFrame([(day(0), 1.0, 5.0), (day(40), 3.0, 1.0)], "d date, predicted double, observed double")
+    assert resample.largest_bias(resample.month_year_bias(pairs)).first().bias_max == 4

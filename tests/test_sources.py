@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo
 from pyspark.sql import functions as F
 
 from skyecho import schema
-from skyecho.operators import analogs
 from skyecho.plans import registry
 from skyecho.sources import fields, results, stations
 from skyecho.streaming import continuous
@@ -85,12 +86,77 @@ def test_analogs_of_a_stream(spark, tmp_path):
     assert {(r.d.day, r.analog_d.day) for r in found} == {(8, 7), (8, 6), (9, 7), (9, 6)}
 
 
+class _Variable:
+    def __init__(self, values, dims):
+        self.values, self.dims = values, dims
+
+    def isel(self, at):
+        values, dims = self.values, list(self.dims)
+        for d, i in at.items():
+            values = np.take(values, i, axis=dims.index(d))
+            dims.remove(d)
+        return _Variable(values, tuple(dims))
+
+    def transpose(self, *dims):
+        return _Variable(np.transpose(self.values, [self.dims.index(d) for d in dims]), dims)
+
+
+class _Dataset(dict):
+    """As much of a dataset of gridded variables as the reader uses."""
+
+    @property
+    def coords(self):
+        return {k: v for k, v in self.items() if k != "t2m"}
+
+    dims = ("time", "number", "longitude", "latitude")
+    data_vars = ("t2m",)
+
+
+def test_batches_of_grid_files():
+    values = np.arange(24).reshape(2, 2, 3, 2)
+    data = _Dataset(time=_Variable(np.array(["2005-01-01T00", "2005-01-01T12"], "datetime64[ns]"), ("time",)), number=_Variable(np.array([0, 1]), ("number",)), longitude=_Variable(np.array([-10.0, -5, 0]), ("longitude",)), latitude=_Variable(np.array([50.0, 40]), ("latitude",)), t2m=_Variable(values, ("time", "number", "longitude", "latitude")))
+    batches = list(fields.batches_of(data, "t"))
+    assert [b.num_rows for b in batches] == [6] * 4 and sorted(set(batches[1].column(4).to_pylist())) == [1]
+    row = batches[3].to_pylist()[4]
+    assert (row["latitude"], row["longitude"], row["value"], row["ts"]) == (40, -5, values[1, 1, 1, 1], datetime(2005, 1, 1, 12))
+    assert len(list(fields.batches_of(data, "t", number=1))) == 2
+
+
+def test_grid_file_lists(spark, tmp_path):
+    (tmp_path / "y_2005").mkdir()
+    (tmp_path / "y_2005" / "2005_t.nc").write_bytes(b"")
+    there, missing = fields.found_files(spark, fields.files_of(str(tmp_path), ["t"], [2006, 2005], ".nc"))
+    assert [x[-10:] for x in there["t"]] == ["/2005_t.nc"] and [x[-10:] for x in missing] == ["/2006_t.nc"]
+    with pytest.raises(FileNotFoundError, match="no file for u"):
+        fields.gridfiles(spark, fields.files_of(str(tmp_path), ["t", "u"], [2005], ".nc"))
+    reader = fields.GridFileReader({"files": "t=a.nc,u=b.nc"})
+    rest = list(reader.pushFilters([EqualTo(("variable",), "u"), EqualTo(("number",), 3), EqualTo(("value",), 1.0)]))
+    assert len(rest) == 1 and [p.path for p in reader.partitions()] == ["b.nc"] and reader.number == 3
+
+
+def test_series_of_points_and_their_cache(spark, tmp_path):
+    rows = [(datetime(2005, 1, 1, 12) + timedelta(days=i), float(a), float(b), v, n, float(k * (i + 1) + n)) for i in range(2) for a in (50, 40) for b in (-10, -5) for v, k in (("t", 280), ("p", 0.001)) for n in (0, 1)]
+    fields.write_field(spark.createDataFrame(rows, schema.FIELD), str(tmp_path / "field"))
+    assert {r.variable: (r.latitude, r.longitude) for r in fields.read_axes(spark, str(tmp_path / "field")).collect()} == {v: ([40, 50], [-10, -5]) for v in "tp"}
+    points = spark.createDataFrame([("S1", 41.0, -9.0), ("S2", 40.2, -9.5), ("S3", 52.0, 3.0)], "code string, latitude double, longitude double")
+    get = lambda **k: fields.point_series(spark, str(tmp_path / "field"), points, ["t", "p"], names={"t": "TMEAN"}, kelvin=["t"], metres=["p"], **k)
+    got = {(r.code, r.d.day, r.variable): r.value for r in get(number=1).collect()}
+    assert len(got) == 12 and got["S1", 1, "TMEAN_1"] == pytest.approx(281 - 273.15) and got["S3", 2, "p_1"] == pytest.approx(1002)
+    assert {r.variable for r in get(number=0).collect()} == {"TMEAN_0", "p_0"}
+    made: list = []
+    for _ in range(2):
+        stored = fields.cached(spark, str(tmp_path / "cache"), lambda: made.append(1) or get(number=1))
+    assert len(made) == 1 and stored.count() == 12
+    whole = fields.open_field(spark, str(tmp_path / "field"), ["t"], domain=(40, 50, -10, -5), number=0)
+    assert whole.count() == 2
+
+
 def test_registry(spark):
     queries, oracles = registry.queries(), registry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 90
     df = registry.entry(spark)
     assert df.columns == ["season", "d", "variable", "method", "value", "min_band", "max_band"]
-    assert isinstance(analogs.BROADCAST_CELLS, int) and df.where(F.col("value").isNull()).count() == 0
+    assert df.where(F.col("value").isNull()).count() == 0
 
 
 @pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables")
@@ -98,10 +164,9 @@ def test_registry(spark):
 def test_every_day_is_a_target(spark, name):
     duckdb = pytest.importorskip("duckdb")
     days = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    for part, whole in (("_all_days", True), ("", False)):
-        got = registry.queries()[name + part](spark, DATA)
-        assert (got.select("d").distinct().count() == days) == whole
-        with duckdb.connect() as c:
-            c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-            want = c.execute(registry.oracle_sql()[name + part]).fetchall()
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+    got = registry.queries()[name](spark, DATA)
+    assert got.select("d").distinct().count() == days
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+        want = c.execute(registry.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
