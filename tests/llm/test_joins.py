@@ -130,7 +130,7 @@ def test_vectors(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] + [1.0] * 15), (2150, [1.0, 2.0]), (2200, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
-    for options in ({}, {"shard_rows": 200, "query_block": 7}):
+    for options in ({}, {"shard_rows": 200}, {"shard_rows": 40, "sample": 100}):
         got: dict[int, list] = defaultdict(list)
         for r in ann.nearest(df, F.col("vec_id") % 50 == 0, **options).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score, r["rank"]))
@@ -143,14 +143,35 @@ def test_vectors(spark):
             hits, total = hits + len(set(best) & {v for v, _, _ in found}), total + 5
             assert [x[2] for x in found] == [1, 2, 3, 4, 5] and [x[1] for x in found] == pytest.approx([cos[v] for v, _, _ in found], abs=1e-9)
         assert hits / total > 0.95
+        seen = ann.nearest(df, F.col("vec_id") % 50 == 0, **options).select("query_id", "verified").distinct()
+        assert seen.agg(F.avg("verified")).first()[0] < 0.6 * 901
         assert [v for v, _, _ in got[950]] == [900, 901, 902, 903, 904]
     few = spark.createDataFrame(rows[:3], df.drop("id").schema)
     assert [r.vec_id for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] and ann.nearest(few, F.col("vec_id") == 0).count() == 2
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_vectors_of_the_tables(spark):
+    """Recall against brute force over all rows."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toPandas()
+    x = np.stack(rows["v"].to_list())
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = ann.nearest(table, F.col("vec_id") % 10 == 0, shard_rows=100).toPandas()
+    hits = 0
+    for i in np.flatnonzero(rows["vec_id"] % 10 == 0):
+        cos = x @ x[i]
+        cos[i] = -9
+        own = got[got["query_id"] == rows["vec_id"][i]]
+        hits += len(set(rows["vec_id"][np.argsort(-cos)[:5]]) & set(own["vec_id"]))
+        assert sorted(own["rank"]) == [1, 2, 3, 4, 5]
+    assert hits / (5 * (rows["vec_id"] % 10 == 0).sum()) >= 0.93
+    with pytest.raises(ValueError, match="score"):
+        ann.nearest(table.withColumnRenamed("vec_id", "score"), F.lit(True), key="score")
+
+
 def test_chi_square():
-    draws = np.random.default_rng(1).chisquare(8, 200_000)
+    draws = np.random.default_rng(1).chisquare(ann.DIRECTIONS, 200_000)
     assert (draws < ann.chi_square_limit(0.95)).mean() == pytest.approx(0.95, abs=0.003)
 
 
