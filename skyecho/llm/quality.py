@@ -1,15 +1,17 @@
 """Quality by learning from positive and unlabelled text.
 
-Trusted good documents and unlabelled ones train a small network under the
-non-negative risk: with p the class prior, p * loss+(good) plus
-max(0, loss-(unlabelled) - p * loss-(good)). No labelled bad document is a
-training example. Features are shares of characters and character pairs and
+Trusted good documents and unlabelled web text as it comes train a small network
+under the non-negative risk: with p the class prior, p * loss+(good) plus
+max(0, loss-(unlabelled) - p * loss-(good)). The prior is estimated from the same
+two samples: a network that tells good from unlabelled orders held-out rows, and
+where it is surest the share of unlabelled rows over that of good ones is least,
+which is the prior. Labels of bad documents are used for nothing. Features are shares of characters and character pairs and
 measures of words and repetition over the whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import blocks, enter, IS_SPACE, mix64, word_hashes
+from skyecho.llm.common import IS_SPACE, blocks, clashing, enter, mix64, word_hashes
 
 PAIR_BUCKETS = 128
 #: Kinds of bytes: lower case, upper case, digits, white space, other ASCII, beyond ASCII.
@@ -91,8 +93,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(features(texts)), -30, 30)))
 
 
-def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11) -> Model:
-    """Minimises the non-negative risk by Adam; deterministic."""
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of logits of good and of unlabelled rows under the logistic loss."""
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def risk_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> np.ndarray:
+    """What a step goes against, by logit, good ones first: the gradient of the whole risk, or where its negative part has
+    fallen below 0 that part's alone, turned round."""
+    sp, su = sigmoid(zp), sigmoid(zu)
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        return np.concatenate([prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu)])
+    return np.concatenate([prior * sp / len(zp), -su / len(zu)])
+
+
+def apart_gradient(zp: np.ndarray, zu: np.ndarray, _: float) -> np.ndarray:
+    """The gradient of the plain logistic loss that tells good rows from unlabelled ones, both kinds weighing the same."""
+    return np.concatenate([(sigmoid(zp) - 1) / (2 * len(zp)), sigmoid(zu) / (2 * len(zu))])
+
+
+def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11, gradient: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = risk_gradient) -> Model:
+    """Follows the gradient, by default that of the non-negative risk, by Adam; deterministic."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([good, unlabelled]).astype(float)
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
@@ -100,7 +125,6 @@ def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16
     layers = [rng.normal(0, 1 / np.sqrt(good.shape[1]), (good.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(())]
     first, second = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
     steps = max(1, len(unlabelled) // batch)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     average = [np.zeros_like(x) for x in layers]
     for t in range(1, epochs * steps + 1):
         p = good[rng.integers(0, len(good), min(batch, len(good)))]
@@ -108,14 +132,7 @@ def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16
         x = np.concatenate([p, u])
         h = np.tanh(x @ layers[0] + layers[1])
         z = h @ layers[2] + layers[3]
-        s = sigmoid(z)
-        sp, su = s[: len(p)], s[len(p) :]
-        zp, zu = z[: len(p)], z[len(p) :]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:  # gradient of the whole risk with respect to z
-            gz = np.concatenate([prior * (sp - 1) / len(p) - prior * sp / len(p), su / len(u)])
-        else:  # the negative part has fallen below 0: step back on it alone
-            gz = np.concatenate([prior * sp / len(p), -su / len(u)])
+        gz = gradient(z[: len(p)], z[len(p) :], prior)
         gh = np.outer(gz, layers[2]) * (1 - h * h)
         grads = [x.T @ gh + decay * layers[0], gh.sum(axis=0), h.T @ gz + decay * layers[2], gz.sum()]
         for k, g in enumerate(grads):
@@ -126,38 +143,59 @@ def fit(good: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16
     return Model(mean, scale, average, prior)
 
 
+def least_ratio(good: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of good rows among unlabelled ones, from held-out scores of both: of all thresholds, the least share of
+    unlabelled scores over that of good ones above it, where too few scores for a sure share count against a threshold."""
+    at = np.sort(good)[::-1]
+    above_good = np.searchsorted(-np.sort(good)[::-1], -at, side="right") / len(good)
+    above = np.searchsorted(-np.sort(unlabelled)[::-1], -at, side="right") / len(unlabelled)
+    width = np.sqrt(np.log(4 / doubt) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / doubt) / (2 * len(good)))
+    best = int(np.argmin((above + width) / above_good))
+    return float(above[best] / above_good[best])
+
+
+def estimate_prior(good: np.ndarray, unlabelled: np.ndarray, epochs: int = 12) -> float:
+    """The mean of two estimates, each on the half of the rows that its network hasn't seen; 0.01 to 0.99."""
+    if min(len(good), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for own in (0, 1):
+        model = fit(good[own::2], unlabelled[own::2], 0.5, epochs=epochs, gradient=apart_gradient)
+        found.append(least_ratio(model.logit(good[1 - own :: 2]), model.logit(unlabelled[1 - own :: 2])))
+    return min(0.99, max(0.01, sum(found) / 2))
+
+
 def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", most_good: int = 6000, most_unlabelled: int = 12_000, prior: float | None = None) -> Model | None:
     """A model from rows of ``df`` where ``learn`` (over ``key``) holds; None without a trusted positive.
 
     The bound of what is learned from: ``most_good`` rows that all their labels call
-    1 and ``most_unlabelled`` rows that have no label, those with the smallest
-    hashes. The class prior, unless given, is the share of 1 among the labels of
-    those rows; nothing else is taken from labels of 0.
+    1, and ``most_unlabelled`` rows of all, whatever their label, those with the
+    smallest hashes (ties by key). The class prior, unless given, is estimated from those two
+    samples; labels of 0 only keep a row from being trusted. Rows that repeat a key count one by one. Keys
+    are of any type that can be ordered; null keys are not learned from.
     """
     spark = df.sparkSession
-    known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).where("_label = 1")
+    ones = known.count()
     if not ones:
         return None
-    if prior is None:
-        prior = min(0.99, max(0.01, ones / n))
     spread = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 24))
     ids = df.select(key).where(learn & F.col(key).isNotNull())
     total = ids.count()
     rate = lambda most, of: int(min(1.0, 1.5 * most / max(1, of)) * (1 << 24)) + 1
     smallest = lambda x, most: [r[0] for r in x.withColumn("_at", spread).orderBy("_at", key).limit(most).select(key).collect()]  # noqa: E731  at most `most` ids
-    good = smallest(known.where((F.col("_label") == 1) & (spread < rate(most_good, ones))).select(key), most_good)
-    rest = ids.where(spread < rate(most_unlabelled, max(1, total - n))).distinct()
-    other = smallest(rest.join(labels.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti"), most_unlabelled)
-    if not other:  # every row has a label: then all of them stand for web text
-        other = smallest(rest, most_unlabelled)
-    chosen = spark.createDataFrame([(i, k) for k, own in enumerate((good, other)) for i in own] or [(None, 0)], f"`{key}` {df.schema[key].dataType.simpleString()}, _kind int")
+    good = smallest(known.where(spread < rate(most_good, ones)).select(key), most_good)
+    other = smallest(ids.where(spread < rate(most_unlabelled, total)).distinct(), most_unlabelled)
+    if not other:
+        return None
+    kind = df.schema[key].dataType.simpleString()
+    chosen = spark.createDataFrame([(i, k) for k, own in enumerate((good, other)) for i in own], f"`{key}` {kind}, _kind int")
     texts = df.select(key, text).join(F.broadcast(chosen), key).select("_kind", key, text)  # as many ids as the two bounds at most
-    drawn = texts.mapInArrow(_described, "_kind int, _key long, x binary").orderBy("_kind", "_key").collect()
+    drawn = texts.mapInArrow(_described, f"_kind int, _key {kind}, x binary").orderBy("_kind", "_key", "x").collect()
     x = [np.frombuffer(b"".join(r["x"] for r in drawn if r["_kind"] == k), np.float32).reshape(-1, WIDTH) for k in (0, 1)]
     if not len(x[0]) or not len(x[1]):
         return None
-    return fit(x[0], x[1], prior)
+    return fit(x[0], x[1], estimate_prior(x[0], x[1]) if prior is None else prior)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +210,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher is better) of every row's whole text.
 
-    Null texts score as empty ones; without a model every score is 0.5.
+    Null texts score as empty ones; without a model every score is 0.5. Repeated rows score
+    alike, each in a row of its own. A kept column named ``score`` is an error.
     """
+    clashing(df.select(*keep), "score")
     kept = df.select(*keep, text)
     at = kept.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", score double"

@@ -144,8 +144,49 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd, None).collect()} == {0.5} and quality.accepted(df, None).count() == 400
 
 
+def test_risk_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    for shift, prior in ((0.0, 0.3), (1.5, 0.6), (-2.5, 0.9)):
+        zp, zu = rng.normal(1, 1, 7), rng.normal(shift, 1, 11)
+        plus, minus = (lambda z: np.log(1 + np.exp(-z))), (lambda z: np.log(1 + np.exp(z)))
+        negative = minus(zu).mean() - prior * minus(zp).mean()
+        assert quality.risk(zp, zu, prior) == pytest.approx(prior * plus(zp).mean() + max(0, negative))
+        # Where the negative part holds, the step is the risk's gradient; below 0 it is that part's gradient turned round.
+        of = (lambda a, b: quality.risk(a, b, prior)) if negative >= 0 else (lambda a, b: -(minus(b).mean() - prior * minus(a).mean()))
+        z, got = np.concatenate([zp, zu]), quality.risk_gradient(zp, zu, prior)
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            assert got[i] == pytest.approx((of(up[:7], up[7:]) - of(down[:7], down[7:])) / 2e-6, abs=1e-8)
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+def test_prior_from_good_and_unlabelled_rows(prior):
+    rng = np.random.default_rng(6)
+    rows = lambda n, at: rng.normal(at, 1, (n, 6))
+    n = int(4000 * prior)
+    unlabelled = rng.permutation(np.concatenate([rows(n, 1.5), rows(4000 - n, -1.5)]))
+    assert quality.estimate_prior(rows(2000, 1.5), unlabelled) == pytest.approx(prior, abs=0.06)
+
+
+def test_quality_without_bad_labels_and_with_string_ids(spark):
+    rng = random.Random(8)
+    words = ["stone", "river", "light", "green", "walk", "under", "seven", "house", "quiet", "paper"]
+    rows = [(f"d{i}", "!!! ".join([rng.choice(words).upper()] * 50) if i % 4 == 0 else " ".join(rng.choice(words) for _ in range(60)) + ".") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    trusted = spark.createDataFrame([(f"d{i}", 1) for i in range(600) if i % 4 and i % 3 == 0], "doc_id string, quality int")
+    model = quality.train(df, trusted, F.lit(True))
+    assert model.prior == pytest.approx(0.75, abs=0.12)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert np.mean([(got[f"d{i}"] >= 0.5) == (i % 4 != 0) for i in range(600)]) > 0.97
+    with pytest.raises(ValueError, match="score"):
+        quality.score(df.withColumn("score", F.lit(1)), model, keep=("doc_id", "score"))
+
+
 def test_bounds_of_quality_training(spark, monkeypatch):
     drawn = []
+    monkeypatch.setattr(quality, "estimate_prior", lambda good, unlabelled: 0.5)
     monkeypatch.setattr(quality, "fit", lambda good, unlabelled, prior: drawn.append((len(good), len(unlabelled))))
     df = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
     labels = spark.range(7000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
