@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skyecho.llm import linededup, ngramjoin, packing, pii, quality
 from skyecho.llm.common import held_out, written
+from skyecho.llm.queries import pii_key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +29,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id. Rows that repeat an id stay or go together."""
+    """Of each group of linked documents the one with the smallest id. Rows that repeat an id stay or go together;
+    rows without an id, which nothing tells apart, all stay."""
     kept = ngramjoin.similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms."""
-    return _recounted(pii.apply(docs, count=None), docs)
+    return _recounted(pii.apply(docs, pii_key(spark), count=None), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 tokens: one row per piece of a document."""
+    """Token sequences of at most 4096 tokens: one row per piece of a document, with its id and no other column of the document."""
     # Stages share their executors: the tokenizer remembers less than by itself.
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=300_000)
 

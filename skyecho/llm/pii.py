@@ -2,10 +2,11 @@
 
 Candidates are found by one pattern, validated (Luhn's check for card numbers,
 octets, calendar dates and so on) and replaced within their format: the digits
-of a number, the four octets of an address or the day of a date go through a
-keyed Feistel network over exactly that domain, so the map is one to one, equal
-values have equal pseudonyms in every document, and the holder of the key can
-invert it. Mail addresses and secrets, which have no small domain, get keyed
+of a number, the four octets of an address, the rank of a social security number
+among the valid ones or that of a date among those of its width go through a
+keyed Feistel network over exactly that domain, so the map is one to one,
+pseudonyms are as valid as what they replace, equal values have equal pseudonyms
+in every document, and the holder of the key can invert it. Mail addresses and secrets, which have no small domain, get keyed
 digests. Everything else of a text stays as it is.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyecho.llm.common import clashing
+
 #: The forms looked for, in order of precedence.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}(?<=\.[A-Za-z]{2,24})"
@@ -32,11 +35,11 @@ DATE = (
 FORMS = {"mail": MAIL, "secret": SECRET, "address": ADDRESS, "card": CARD, "phone": PHONE, "social": SOCIAL, "date": DATE}
 #: Its only group is the secret: that may look like any other form.
 PATTERN = "|".join(f"({p})" if name == "secret" else p for name, p in FORMS.items())
-#: Days from 1900-01-01 to 2099-12-31, as two factors for the network.
-DAYS = (17, 4297)
+#: Years of dates from 1900 to 2099; social security numbers have areas 1 to 899 but 666, groups 1 to 99 and serials 1 to 9999.
+YEARS, AREAS, GROUPS, SERIALS = 200, 898, 99, 9999
 ROUNDS = 10
-#: Steps within which a permuted day meets one of its kind.
-WALK = 128
+#: Steps within which a permuted day of the 13th to the 31st of a month is one that the month has; each is with odds of 0.9.
+WALK = 64
 
 
 def _feistel(a: str, b: str, u: str, v: str, salt: str, key: str) -> str:
@@ -76,21 +79,30 @@ def _date(m: str, key: str) -> str:
     """SQL for the pseudonym of a date written year first, d.M.yyyy, M/d/yyyy or d-M-yyyy, null if it isn't one.
 
     With a slash the month comes first, with a dash the day, unless only the other order is a date. So that the
-    pseudonym is read in the same order, days up to the 12th and later ones are each permuted among themselves.
+    pseudonym is read in the same order and is as wide, months up to the 9th and later ones keep apart, and so do days up
+    to the 9th, the 12th and the 31st. Within years, such months and such days, ranks are permuted.
     """
     part = lambda i: f"element_at(split({m}, '[-./]'), {i})"
     sign = f"regexp_extract({m}, '[-./]', 0)"
-    day = lambda y, mo, d: f"datediff(try_to_date(concat_ws('-', {part(y)}, lpad({part(mo)}, 2, '0'), lpad({part(d)}, 2, '0')), 'yyyy-MM-dd'), date'1900-01-01')"
-    first = f"length({part(1)}) = 4"
-    order = f"if({first}, 'ymd', if({sign} = '.', 'dmy', if({sign} = '/', if({day(3, 1, 2)} is null, 'dmy', 'mdy'), if({day(3, 2, 1)} is null, 'mdy', 'dmy'))))"
-    late = lambda n: f"day(date_add(date'1900-01-01', {n})) > 12"
-    step = lambda n: _let("f", _feistel(f"{n} div {DAYS[1]}", f"{n} % {DAYS[1]}", str(DAYS[0]), str(DAYS[1]), "'date'", key), f"cast(f.a * {DAYS[1]} + f.b as int)")
-    # On from day to day until one of the same kind: that is again one to one. Each step ends it with odds of 0.39 at least.
-    moved = f"aggregate(sequence(1, {WALK}), {step('n')}, (w, j) -> if(({late('w')}) = ({late('n')}), w, {step('w')}))"
-    shown = f"concat_ws({sign}, transform(sequence(1, 3), x -> case substring(o, x, 1) when 'y' then date_format(v, 'yyyy') when 'm' then date_format(v, 'MM') else date_format(v, 'dd') end))"
-    there = f"date_add(date'1900-01-01', {moved})"
+    day = lambda y, mo, d: f"try_to_date(concat_ws('-', {part(y)}, lpad({part(mo)}, 2, '0'), lpad({part(d)}, 2, '0')), 'yyyy-MM-dd')"
+    order = f"if(length({part(1)}) = 4, 'ymd', if({sign} = '.', 'dmy', if({sign} = '/', if({day(3, 1, 2)} is null, 'dmy', 'mdy'), if({day(3, 2, 1)} is null, 'mdy', 'dmy'))))"
     found = f"case o when 'ymd' then {day(1, 2, 3)} when 'dmy' then {day(3, 2, 1)} else {day(3, 1, 2)} end"
-    return _let("o", order, _let("n", found, f"if(n is null, null, {_let('v', there, shown)})"))
+    kind = "named_struct('m0', if(month(n) <= 9, 1, 10), 'm', if(month(n) <= 9, 9, 3), 'd0', if(day(n) <= 9, 1, if(day(n) <= 12, 10, 13)), 'd', if(day(n) <= 9, 9, if(day(n) <= 12, 3, 19)))"
+    step = lambda a, b: _feistel(a, b, str(YEARS), "k.m * k.d", "concat('date', k.m, k.d)", key)
+    # On from rank to rank until the month has the day: that is again one to one.
+    there = "k.d0 + w.b % k.d <= day(last_day(make_date(cast(1900 + w.a as int), cast(k.m0 + w.b div k.d as int), 1)))"
+    moved = f"aggregate(sequence(1, {WALK}), {step('year(n) - 1900', '(month(n) - k.m0) * k.d + day(n) - k.d0')}, (w, j) -> if({there}, w, {step('w.a', 'w.b')}))"
+    wide = lambda x, value: f"lpad(cast({value} as string), length(element_at(split({m}, '[-./]'), {x})), '0')"
+    shown = f"concat_ws({sign}, transform(sequence(1, 3), x -> case substring(o, x, 1) when 'y' then cast(1900 + v.a as string) when 'm' then {wide('x', 'k.m0 + v.b div k.d')} else {wide('x', 'k.d0 + v.b % k.d')} end))"
+    return _let("o", order, _let("n", found, f"if(n is null, null, {_let('k', kind, _let('v', moved, shown))})"))
+
+
+def _social(m: str, key: str) -> str:
+    """SQL for the pseudonym of a valid social security number, another valid one."""
+    n = lambda at, size: f"cast(substring({m}, {at}, {size}) as bigint)"
+    moved = _feistel(f"{n(1, 3)} - if({n(1, 3)} > 666, 2, 1)", f"({n(5, 2)} - 1) * {SERIALS} + {n(8, 4)} - 1", str(AREAS), str(GROUPS * SERIALS), "'social'", key)
+    shown = f"concat_ws('-', lpad(cast(f.a + if(f.a + 1 >= 666, 2, 1) as string), 3, '0'), lpad(cast(f.b div {SERIALS} + 1 as string), 2, '0'), lpad(cast(f.b % {SERIALS} + 1 as string), 4, '0'))"
+    return _let("f", moved, shown)
 
 
 def _pseudonym(m: str, key: str, secret_found: str) -> str:
@@ -109,7 +121,7 @@ def _pseudonym(m: str, key: str, secret_found: str) -> str:
     return (
         f"case when {secret_found} then {secret} when instr({m}, '@') > 0 then {mail} "
         f"when {m} rlike '^{_sql(OCTET)}([.]{_sql(OCTET)}){{3}}$' then {address} "
-        f"when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {number(chr(39) + 'social' + chr(39))} "
+        f"when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {_social(m, key)} "
         f"when {m} rlike '^([0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}|[0-9]{{1,2}}([./-])[0-9]{{1,2}}[./-][0-9]{{4}})$' then coalesce({_date(m, key)}, {m}) "
         f"when {m} rlike '^[+(]' or {m} rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' then {number(chr(39) + 'phone' + chr(39))} "
         f"when {m} rlike '^[0-9]([0-9 -]){{11,21}}[0-9]$' and length({d}) between 13 and 19 then {card} "
@@ -121,7 +133,7 @@ def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def apply(df: DataFrame, text: str = "text", key: str = "skyecho", out: str | None = None, count: str | None = "n_pii") -> DataFrame:
+def apply(df: DataFrame, key: str, text: str = "text", out: str | None = None, count: str | None = "n_pii") -> DataFrame:
     """``df`` with ``text`` (or a new column ``out``) pseudonymised and, unless None, ``count``:
     how many values were replaced. Null texts stay null (0 replaced), empty ones empty.
 
@@ -129,10 +141,12 @@ def apply(df: DataFrame, text: str = "text", key: str = "skyecho", out: str | No
     (16 characters or more), IPv4 addresses, card numbers that pass Luhn's check,
     telephone and social security numbers, and calendar dates of 1900 to 2099
     (yyyy-MM-dd, yyyy/MM/dd, d.M.yyyy, M/d/yyyy and d/M/yyyy, d-M-yyyy and M-d-yyyy).
-    Values of one kind stay linked over all documents, however they are spaced. A
-    narrow map: no shuffle, no Python. Names that begin with __pii are taken.
+    Values of one kind stay linked over all documents, however they are spaced; who holds the ``key`` can invert them, so
+    it comes from the caller and has no default. A narrow map: no shuffle, no Python; repeated rows change alike. Columns
+    named as ``count`` or a new ``out``, or with names that begin with __pii, are an error.
     """
-    if not key.isalnum():
+    clashing(df, *([count] if count else []), *([out] if out and out != text else []), prefix="__pii")
+    if not key or not key.isalnum():
         raise ValueError("the key must be letters and digits")
     out = out or text
     t = f"`{text}`"

@@ -55,8 +55,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of the setting spark.skyecho.pii.key. The synthetic tables hold nobody's data: for them, and for them only, an
+    open one stands in where it isn't set."""
+    return spark.conf.get("spark.skyecho.pii.key", None) or "open"
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.apply(_documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.apply(_documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,7 +214,7 @@ def test_pseudonyms(spark):
         'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "ssn 123-45-6789 on 2001-02-28 not 2001-02-29", "über.55@mail4.example.com!", "", None, "no data: 12 of 345, 3.5 km, a 1234567 b", "x" * 40_000 + " 97.51.17.173", "97.51.17.173",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_found", F.lit("clash"))
-    got = {r.doc_id: (r.text, r.n_pii) for r in pii.apply(df).collect()}
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.apply(df, "key").collect()}
     a, b = re.findall(r"card (\d{16}), again ([\d ]{19}) not 9807915762804490", got[0][0])[0]
     assert b.replace(" ", "") == a != "4845168114407329" and luhn(a) and got[0][1] == 2 and got[1][0].endswith(a) and got[1][1] == 2
     ip = re.fullmatch(r"ip (\S+) but 1\.2\.3\.4\.5 and 4\.0\.", got[2][0])[1]
@@ -226,16 +226,18 @@ def test_pseudonyms(spark):
     assert got[6][0].endswith("@example.invalid!") and "mail4" not in got[6][0]
     assert got[7] == ("", 0) and got[8] == (None, 0) and got[9] == (texts[9], 0)
     other = {r.doc_id: r.text for r in pii.apply(df, key="another").collect()}
-    assert other[11] != ip and pii.apply(df.limit(0)).count() == 0
+    assert other[11] != ip and pii.apply(df.limit(0), "key").count() == 0
     with pytest.raises(ValueError, match="letters"):
-        pii.apply(df, key="it's")
+        pii.apply(df, "it's")
+    with pytest.raises(ValueError, match="n_PII"):
+        pii.apply(df.withColumn("n_PII", F.lit(1)), "key")
 
 
 def test_pseudonyms_are_one_to_one(spark):
     days = spark.range(73049).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    assert pii.apply(days).select("text").distinct().count() == 73049
+    assert pii.apply(days, "key").select("text").distinct().count() == 73049
     numbers = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("555-01"), F.lpad((F.col("id") % 10).cast("string"), 1, "0"), F.lit("-"), F.lpad((F.col("id") / 10).cast("int").cast("string"), 4, "0")).alias("text"))
-    assert pii.apply(numbers).select("text").distinct().count() == 20_000
+    assert pii.apply(numbers, "key").select("text").distinct().count() == 20_000
 
 
 def test_dates_in_every_form(spark):
@@ -243,13 +245,13 @@ def test_dates_in_every_form(spark):
     early = ["1999-03-05", "05.03.1999", "3/5/1999", "05-03-1999"]
     not_dates = ["31/13/2001", "2001-02-29T10:00:00", "30-02-2001", "2001/13/01", "1999-03-25Tuesday", "25/03/19990"]
     texts = [f"le {x} à" for x in (*same, *early, "31/12/2001", "13/01/2001", *not_dates)]
-    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
     year, month, day = re.fullmatch(r"le (\d{4})-(\d\d)-(\d\d) à", got[0][0]).groups()
     assert (year, month, day) != ("1999", "03", "25") and int(day) > 12
-    forms = [f"{year}-{month}-{day}", f"{year}/{month}/{day}", f"{day}.{month}.{year}", f"{day}/{month}/{year}", f"{day}-{month}-{year}", f"{month}/{day}/{year}", f"{month}/{day}/{year}", f"{month}-{day}-{year}", f"{year}-{month}-{day}T10:00:00Z"]
+    forms = [f"{year}-{month}-{day}", f"{year}/{month}/{day}", f"{day}.{month}.{year}", f"{day}/{month}/{year}", f"{day}-{month}-{year}", f"{month}/{day}/{year}", f"{int(month)}/{day}/{year}", f"{month}-{day}-{year}", f"{year}-{month}-{day}T10:00:00Z"]
     assert got[: len(same)] == [(f"le {x} à", 1) for x in forms]
     year, month, day = re.fullmatch(r"le (\d{4})-(\d\d)-(\d\d) à", got[len(same)][0]).groups()
-    assert int(day) <= 12 and [x for x, _ in got[len(same) : len(same) + 4]] == [f"le {x} à" for x in (f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{day}-{month}-{year}")]
+    assert int(day) <= 12 and [x for x, _ in got[len(same) : len(same) + 4]] == [f"le {x} à" for x in (f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{int(month)}/{int(day)}/{year}", f"{day}-{month}-{year}")]
     rest = len(same) + len(early)
     assert all(n == 1 and t != was for (t, n), was in zip(got[rest : rest + 2], texts[rest:], strict=False))
     assert got[rest + 2 :] == [(x, 0) for x in texts[rest + 2 :]]
@@ -260,7 +262,103 @@ def test_slashed_dates_are_one_to_one(spark):
     month_first = spark.range(73049).select(F.date_format(day, "MM/dd/yyyy").alias("text"))
     day_first = spark.range(73049).where(F.dayofmonth(day) > 12).select(F.date_format(day, "dd/MM/yyyy").alias("text"))
     both = month_first.union(day_first)
-    assert pii.apply(both).select("text").distinct().count() == both.count() == pii.apply(both).where("n_pii <= 1").count()
+    assert pii.apply(both, "key").select("text").distinct().count() == both.count() == pii.apply(both, "key").where("n_pii <= 1").count()
+
+
+def test_social_security_numbers_stay_valid(spark):
+    number = F.concat_ws("-", F.lpad((F.col("id") % 899 + 1).cast("string"), 3, "0"), F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 9999 + 1).cast("string"), 4, "0"))
+    old = spark.range(0, 40_000).select(number.alias("text")).where("text not like '666%'").distinct()
+    new = [r.text for r in pii.apply(old, "key").collect()]
+    assert len(set(new)) == len(new) == old.count() and not [x for x in new if not re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x)]
+
+
+def test_dates_keep_their_width(spark):
+    texts = ["1.2.2001", "01.02.2001", "11.12.1999", "9/30/2010", "10-11-2012", "2004/2/29", "2004/02/29"]
+    got = [r.text for r in pii.apply(spark.createDataFrame([(t,) for t in texts], "text string"), "key").collect()]
+    assert [re.sub("[0-9]", "0", x) for x in got] == [re.sub("[0-9]", "0", x) for x in texts] and not set(got) & set(texts)
+    parts = lambda x: [int(p) for p in re.split("[./-]", x)]
+    assert parts(got[0]) == parts(got[1]) and parts(got[5]) == parts(got[6])
+
+
+def brute_pseudonyms(text: str, key: str) -> str:
+    """The pseudonyms of a text by plain loops over the forms."""
+    import hashlib
+    from datetime import date
+
+    import regex
+
+    def moved(a, b, u, v, salt):
+        for i in range(1, pii.ROUNDS + 1):
+            d = lambda x, i=i: int(hashlib.sha256("|".join((key, salt, str(i), str(x))).encode()).hexdigest()[:15], 16)
+            a, b = ((a + d(b)) % u, b) if i % 2 else (a, (b + d(a)) % v)
+        return a, b
+
+    def digits(d, salt):
+        k = len(d) // 2
+        a, b = moved(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), f"{salt}{len(d)}")
+        return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+    def refilled(m, d):
+        left = iter(d)
+        return "".join(next(left) if c in "0123456789" else c for c in m)
+
+    def day(m):
+        p, sign = re.split("[-./]", m), re.search("[-./]", m)[0]
+        orders = ["ymd"] if len(p[0]) == 4 else {".": ["dmy"], "/": ["mdy", "dmy"], "-": ["dmy", "mdy"]}[sign]
+        for o in orders:
+            y, mo, d = (int(p[o.index(x)]) for x in "ymd")
+            try:
+                date(y, mo, d)
+            except ValueError:
+                continue
+            m0, ms = (1, 9) if mo <= 9 else (10, 3)
+            d0, ds = (1, 9) if d <= 9 else (10, 3) if d <= 12 else (13, 19)
+            a, b = y - 1900, (mo - m0) * ds + d - d0
+            while True:
+                a, b = moved(a, b, 200, ms * ds, f"date{ms}{ds}")
+                try:
+                    new = date(1900 + a, m0 + b // ds, d0 + b % ds)
+                    break
+                except ValueError:
+                    pass
+            out = {"y": str(new.year), "m": str(new.month), "d": str(new.day)}
+            return sign.join(out[x].zfill(len(p[k])) for k, x in enumerate(o))
+        return m
+
+    def new(found):
+        m = found[0]
+        if found[1]:
+            h = (hashlib.sha512(f"{key}|secret|{m}".encode()).hexdigest())[: len(m)].ljust(len(m), "0")
+            return h.upper() if m == m.upper() else h
+        if "@" in m:
+            return f"user-{hashlib.sha256(f'{key}|mail|{m.lower()}'.encode()).hexdigest()[:16]}@example.invalid"
+        d = re.sub("[^0-9]", "", m)
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m):
+            o = [int(x) for x in m.split(".")]
+            a, b = moved(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "address")
+            return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+            area = int(m[:3])
+            a, b = moved(area - (2 if area > 666 else 1), (int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, 898, 99 * 9999, "social")
+            return f"{a + (2 if a + 1 >= 666 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+        if re.fullmatch(r"[0-9]{4}([/-])\d{1,2}[/-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4}", m):
+            return day(m)
+        if re.match(r"[+(]", m) or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", m):
+            return refilled(m, d[:-10] + digits(d[-10:], "phone"))
+        if not luhn(d):
+            return m
+        body = digits(d[:-1], "card")
+        return refilled(m, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    return regex.sub(pii.PATTERN, new, text)
+
+
+def test_pseudonyms_of_the_table_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.apply(docs, "key").collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: t if t is None else brute_pseudonyms(t, "key") for i, t in old.items()}
+    assert sum(n for _, n in got.values()) > 20
 
 
 def test_secrets_by_any_separator_and_look(spark):
@@ -269,7 +367,7 @@ def test_secrets_by_any_separator_and_look(spark):
     values = [value, value.upper(), "abcdefghijklmnopqrst", "9807915762804490", "4845168114407329", "123456789012345678", "+abcdefghijklmnop", "+1abcdefghijklmnopq", "017-555-7713-abcdefg", "1999-03-25T10-00-00", value + "=="]
     kept = ["token=short", "a token of abcdefghijklmnopqrst", "token====", "no word: abcdefghijklmnopqrst=x"]
     texts = [f"{h}{v} end" for h in heads for v in values] + kept
-    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [(r.text, r.n_pii) for r in pii.apply(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
     seen: dict[str, set] = {}
     for (text, n), (h, v) in zip(got, ((h, v) for h in heads for v in values), strict=False):
         new = re.fullmatch(re.escape(h) + r"(\S+) end", text)[1]
@@ -281,6 +379,6 @@ def test_secrets_by_any_separator_and_look(spark):
 
 def test_native_plans(spark):
     df = spark.createDataFrame([(1, "a 97.51.17.173")], "doc_id long, text string")
-    for out in (pii.apply(df), linededup.dedup(df)):
+    for out in (pii.apply(df, "key"), linededup.dedup(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
