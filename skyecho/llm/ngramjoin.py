@@ -8,24 +8,30 @@ vertical partitioning.
    order. Prefix entries meet by n-gram; pairs pass length and position filters.
    Of an n-gram with more than ``HOT`` sets, every set is paired with a few
    leaders only; its entries are kept for step 4.
-3. Sets of candidate pairs are gathered by cluster, cut into fragments, ranges of
-   the order of n-gram hashes; each fragment counts its part of every pair's
-   overlap, the sum per pair decides, and links give components.
+3. Sets of candidate pairs are cut vertically at pivots of the global order, all
+   of them, into fragments of equal weight; each fragment counts its part of every
+   pair's overlap, the parts are summed per pair, and links give components. Pairs
+   are gathered by cluster, and a larger cluster has more fragments.
 4. Of the kept entries, pairs of sets that are not in one component yet are
-   verified the same way, in blocks. So no link that could join two components
-   is missed, while a large group of near copies costs a few pairs per member.
+   verified the same way. First in a few turns, in which every set meets some
+   others of its n-gram and size; then those outside an n-gram's largest component
+   meet all of it that have about their size, in blocks. So no link that could
+   join two components is missed, while a large group of near copies costs a few
+   pairs per member.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from skyecho.llm.common import U64, blocks, enter, mix64, shuffle_width, word_hashes, written
 from skyecho.llm.graph import components
@@ -36,11 +42,12 @@ FILTER_BITS = 26
 HOT, LEADERS = 48, 4
 #: Partners in the turns before all pairs across components are compared.
 TURNS = (6, 6, 6)
-#: Sets of an n-gram that are compared with each other in one task (a pair of blocks).
+#: Sets of an n-gram and range of sizes that are compared with each other at once.
 BLOCK = 4096
-FRAGMENT = 1 << 20
-#: Entries of frequent n-grams that are compared in one task; a cluster with more is dealt by n-gram and pair of blocks.
-UNIT = 1 << 19
+#: Fragments of a set at least, n-grams of a cluster in one fragment, and ranges of the global order, of which a fragment has some.
+FRAGMENTS, FRAGMENT, RANGES = 8, 1 << 20, 1 << 16
+#: Entries of frequent n-grams in one task, as far as blocks of one n-gram allow.
+UNIT = 1 << 15
 #: Members of clusters (24 bytes each) that may be broadcast; beyond, the sets are shuffled to meet them.
 BROADCAST_ROWS = 500_000
 BLOCK_BYTES = 1_000_000
@@ -142,6 +149,40 @@ def _prefixes(n: int, percent: int, bits: int, sketch: Broadcast) -> Callable:
     return run
 
 
+def pivots(sketch: np.ndarray, ranges: int = RANGES) -> np.ndarray:
+    """Where the global order (step, then hash) is cut: ``ranges`` parts with about as many n-grams each."""
+    weight = np.bincount(sketch, (np.exp2(sketch / 4) - 1), 256)
+    ends = np.cumsum(weight)
+    at = np.arange(1, ranges) * (ends[-1] / ranges) if ends[-1] else np.zeros(0)
+    step = np.minimum(np.searchsorted(ends, at, side="left"), 255)
+    part = np.clip((at - (ends[step] - weight[step])) / np.maximum(weight[step], 1e-9), 0, 1)
+    return (step.astype(U64) << U64(56)) | (part * ((1 << 56) - 1)).astype(U64)
+
+
+def _cut(bits: int, sketch: Broadcast) -> Callable:
+    """Each set's fragments: the n-grams of consecutive ranges of the global order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngramjoin")
+        often: np.ndarray = sketch.value
+        at = pivots(often)
+        for batch in batches:
+            out: list[tuple] = []
+            for key, n, bucket, fragments, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                own = grams.values.to_numpy().view(U64)
+                place = (often[(own >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (own >> U64(8))
+                fragment = np.searchsorted(at, place, side="right") * fragments // RANGES
+                order = np.argsort(fragment, kind="stable")
+                own, fragment = own[order], fragment[order]
+                first = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
+                for a, b in zip(first, [*first[1:], len(own)], strict=True):
+                    out.append((key, n, bucket, int(fragment[a]), own[a:b].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["key", "n", "bucket", "fragment", "grams"])
+
+    return run
+
+
 def _able(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sizes allow a link, and the places do if this is the first n-gram in common."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
@@ -248,7 +289,7 @@ def _candidates(percent: int, hot: int, leaders: int) -> Callable:
 
 
 def _cross(percent: int, partners: int = 0, turn: int = 0) -> Callable:
-    """Pairs, each once, between sets of different components that share a frequent n-gram, of one unit of entries.
+    """Pairs, each once, between sets of different components that are in one group (``token``), of one unit of groups.
     With ``partners``, of each set outside an n-gram's largest component at most so many, chosen by hash."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -327,19 +368,18 @@ def _overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
     # One number for each different n-gram, so that a pair's overlap is a look-up in a table of marks.
     ids = np.unique(values, return_inverse=True)[1]
     marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-    a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
     own = lambda k: ids[offsets[place[k]] : offsets[place[k] + 1]]
-    count = np.zeros(len(a), np.int64)
+    out: list[tuple] = []
     previous = None
-    for i in sorted(range(len(a)), key=a.__getitem__):
-        if a[i] != previous:
+    for a, b in sorted((a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if a in place and b in place):
+        if a != previous:
             if previous is not None:
                 marked[own(previous)] = False
-            previous = a[i]
+            previous = a
             marked[own(previous)] = True
-        count[i] = int(np.count_nonzero(marked[own(b[i])]))
-    sizes = lambda keys: pa.array([size[place[k]] for k in keys], pa.int64())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": sizes(a), "nb": sizes(b), "common": pa.array(count)})
+        if count := int(np.count_nonzero(marked[own(b)])):
+            out.append((a, b, size[place[a]], size[place[b]], count))
+    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "na", "nb", "common"), zip(*out, strict=True) if out else [[]] * 5, strict=True)})
 
 
 def _links(pairs: DataFrame, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -350,6 +390,47 @@ def _links(pairs: DataFrame, members: DataFrame, segments: DataFrame, percent: i
     return total.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
+def _with_few(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join with counts of n-grams, broadcast only if they are few."""
+    stored = written(right, "counts")
+    return left.join(F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored, on)
+
+
+ENTRY = ("key", "n", "pos", "root")
+
+
+def _mixed(entries: DataFrame, turn: int, block: int) -> DataFrame:
+    """Each entry in one group (``token``) of at most about ``block`` of its n-gram and two neighbouring ranges of sizes, others each turn."""
+    slot = entries.withColumn("slot", F.floor((F.col("range") + turn % 2) / 2))
+    counted = _with_few(slot, slot.groupBy("token", "slot").agg(_blocks_of(block).alias("blocks")), ["token", "slot"])
+    group = F.xxhash64("token", "slot", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")))
+    return counted.select(group.alias("token"), *ENTRY, F.lit(2).alias("side"))
+
+
+def _blocks_of(block: int) -> Column:
+    return F.ceil(F.count("*") / block).cast("int")
+
+
+def _outside(entries: DataFrame, block: int) -> DataFrame:
+    """Of each n-gram the entries outside its largest component (side 0) in groups with all (side 1) of their range of sizes
+    and its neighbours: every block of the ones with every block of the others."""
+    roots = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
+    top = roots.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", "top")
+    open_ = _with_few(entries, top, ["token"])
+    outside = open_.where("root <> top").withColumn("slot", F.col("range"))
+    all_ = open_.withColumn("slot", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
+    n_out = outside.groupBy("token", "slot").agg(_blocks_of(block).alias("b_out"))
+    n_all = all_.groupBy("token", "slot").agg(_blocks_of(block).alias("b_all"))
+    counts = written(n_out.join(n_all, ["token", "slot"]), "counts")
+    few = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = outside.join(few, ["token", "slot"]).withColumns({"x": own("b_out"), "y": other("b_all")})
+    right = all_.join(few, ["token", "slot"]).withColumn("x", other("b_out")).withColumn("y", own("b_all"))
+    side = lambda df, k: df.select(F.xxhash64("token", "slot", "x", "y").alias("token"), *ENTRY, F.lit(k).alias("side"))
+    return side(left, 0).unionByName(side(right, 1))
+
+
 def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS, hot: int = HOT, block: int = BLOCK, fragment: int = FRAGMENT, unit: int = UNIT) -> DataFrame:
     """Each row's id, ``n_shingles`` (the size of its set of word ``n``-grams) and
     ``component_id``, the smallest id that it reaches over links: pairs of sets with
@@ -358,9 +439,12 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     Words are runs of bytes other than ASCII white space, A-Z as a-z. A text with
     fewer than ``n`` words has one n-gram, all of them; one without words (or null)
     has none and is linked with nothing. Rows with equal sets are linked. Sets are
-    compared by 64-bit hashes of their n-grams.
+    compared by 64-bit hashes of their n-grams. Ids are integers (another type is an error); of rows that repeat an id each has its
+    own, equal, result if their texts are equal. Other columns are left out.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column")
     docs = df.select(F.col(id_col).cast("long").alias("id"), text)
     width = shuffle_width(spark)
     described = written(docs.mapInArrow(_described(n, sketch_bits), "id long, n long, key long, chunk int, counts binary"), "described")
@@ -369,7 +453,8 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     for r in described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").collect():
         own = np.frombuffer(r["counts"], np.uint8)[: len(sketch)]
         sketch[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(own)] = own[: len(sketch) - r["chunk"] * CHUNK]
-    entries = docs.select(text).mapInArrow(_prefixes(n, percent, sketch_bits, spark.sparkContext.broadcast(sketch)), "token long, key long, n int, pos int")
+    table = spark.sparkContext.broadcast(sketch)
+    entries = docs.select(text).mapInArrow(_prefixes(n, percent, sketch_bits, table), "token long, key long, n int, pos int")
     found = written(entries.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(_candidates(percent, hot, LEADERS), FOUND), "candidates")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
@@ -379,9 +464,9 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     volume = written(sized.groupBy("root").agg(F.sum("n").alias("volume")), "volume")
     total = volume.agg(F.sum("volume")).first()[0] or 0
     if total:
-        buckets = max(1, int(total // fragment))
+        buckets = max(1, int(total // (FRAGMENTS * fragment)))
         # Small clusters share a bucket; one larger than a fragment is cut into several.
-        spread = volume.select("root", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.ceil(F.col("volume") / fragment).cast("int").alias("fragments")).withColumn("bucket", F.when(F.col("fragments") > 1, F.col("root")).otherwise(F.col("bucket")))
+        spread = volume.select("root", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.least(F.lit(RANGES), F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("volume") / fragment))).cast("int").alias("fragments")).withColumn("bucket", F.when(F.col("fragments") > FRAGMENTS, F.col("root")).otherwise(F.col("bucket")))
         members = written(cluster.join(spread, "root").select("key", "bucket", "fragments"), "members")
         position = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
         bitmap = bytearray(1 << (FILTER_BITS - 3))  # of fixed size
@@ -390,31 +475,26 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
             bitmap[at : at + len(r["bits"])] = r["bits"]
         sets = docs.select(text).mapInArrow(_sets(n, spark.sparkContext.broadcast(bytes(bitmap))), "key long, n long, grams array<long>")
         few = members.count() <= BROADCAST_ROWS
-        placed = sets.join(F.broadcast(members) if few else members, "key").select("key", "n", "bucket", "fragments", "grams", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"))
-        # A fragment is a range of hashes; a set that was read in several partitions is the same each time.
-        cut = F.when(F.col("fragments") == 1, F.col("grams")).otherwise(F.filter("grams", lambda h: F.shiftright(F.shiftrightunsigned(h, 33) * F.col("fragments"), 31) == F.col("fragment")))
-        segments = written(placed.select("key", "n", "bucket", "fragment", cut.alias("grams")), "segments")
+        placed = sets.join(F.broadcast(members) if few else members, "key").select("key", "n", "bucket", "fragments", "grams")
+        # A set that was read in several partitions is the same each time.
+        segments = written(placed.mapInArrow(_cut(sketch_bits, table), "key long, n long, bucket long, fragment int, grams array<long>"), "segments")
         links = written(_links(pairs, members, segments, percent), "links")
-        often = found.where("kind = 1").select("token", F.col("a").alias("key"), "n", "pos")
+        # Sizes that differ by up to 100 / percent fall into one range or two neighbours.
+        size = F.floor(F.log("n") / math.log(100.0001 / percent)).cast("int")
+        often = written(found.where("kind = 1").select("token", F.col("a").alias("key"), "n", "pos", size.alias("range")), "entries")
         joined = components(links)
-        if not often.isEmpty():
-            size = written(often.join(cluster.withColumnRenamed("root", "cluster"), "key"), "entries")
-            counts = size.groupBy("cluster").agg(F.count("*").alias("size"))
-            many = size.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-            entry = size.join(counts, "cluster").join(many, "token").withColumn("blocks", F.when(F.col("size") <= unit, 1).otherwise(F.col("blocks"))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-            # Of a large cluster each entry goes to every pair of blocks that holds its own; side 2: both blocks are the same one.
-            dealt = entry.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            unit_of = F.when(F.col("size") <= unit, F.col("cluster")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-            dealt = dealt.select(unit_of.alias("unit"), "token", "key", "n", "pos", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
-            # A few turns with chosen partners draw most sets into their component; then all pairs across components are left.
-            for turn, partners in enumerate((*TURNS, 0)):
-                rooted = dealt.join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-                more = written(rooted.groupBy("unit").applyInArrow(_cross(percent, partners, turn), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-                late = written(_links(more, members, segments, percent), "links")
-                pairs = pairs.unionByName(more)
-                if not late.isEmpty():
-                    links = links.unionByName(late)
-                    joined = components(links)
+        units = max(1, -(-often.count() // unit))
+        # In turns with chosen partners most sets are drawn into their component; then those outside meet all of their size.
+        for turn, partners in enumerate((*TURNS, 0)) if not often.isEmpty() else ():
+            rooted = often.join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            dealt = _mixed(rooted, turn, block) if partners else _outside(written(rooted, "rooted"), block)
+            met = dealt.groupBy(F.pmod("token", F.lit(units)).alias("unit")).applyInArrow(_cross(percent, partners, turn), "a long, b long").distinct()
+            more = written(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            late = written(_links(more, members, segments, percent), "links")
+            pairs = pairs.unionByName(more)
+            if not late.isEmpty():
+                links = links.unionByName(late)
+                joined = components(links)
         classes = classes.join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = classes.join(ids, "root").select("key", "component_id")

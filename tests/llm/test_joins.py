@@ -53,7 +53,7 @@ def brute_components(rows: list[tuple], n: int = 5, percent: int = 80) -> dict:
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "block": 3, "fragment": 200, "unit": 20, "sketch_bits": 10}, {"hot": 4, "unit": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "block": 3, "fragment": 200, "unit": 20, "sketch_bits": 10}, {"hot": 4, "unit": 1, "block": 7}])
 def test_ngram_join(spark, options):
     rows = list(enumerate(near_texts(90, 3))) + [(200, None), (201, ""), (202, "a b"), (203, "A  b\n"), (204, "a b c d e f"), (205, "A B c d e f"), (206, "long " * 3000), (207, "long " * 3001)]
     rows += [(300 + i, rows[1][1]) for i in range(30)]
@@ -69,6 +69,21 @@ def test_ngram_join_of_nothing(spark):
     assert sorted((r.n_shingles, r.component_id or 0) for r in ngramjoin.similar(one).collect()) == [(2, 0), (3, 5), (3, 5)]
 
 
+def test_pivots_cut_the_order_evenly():
+    rng = np.random.default_rng(5)
+    counts = np.minimum(200, rng.zipf(1.5, 1 << 12))
+    sketch = (4 * np.log2(1.0 + counts)).astype(np.uint8)
+    bucket = np.repeat(np.arange(1 << 12), counts).astype(np.uint64)
+    place = (sketch[bucket.astype(int)].astype(np.uint64) << np.uint64(56)) | (bucket << np.uint64(44))
+    got = np.bincount(np.searchsorted(ngramjoin.pivots(sketch, 16), place, side="right"), minlength=16)
+    assert got.sum() == len(place) and got.max() < 2 * len(place) / 16
+
+
+def test_ngram_join_wants_integers(spark):
+    with pytest.raises(ValueError, match="integer"):
+        ngramjoin.similar(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(120)]
