@@ -6,8 +6,8 @@ vertical partitioning.
    first). Equal sets become one class.
 2. Two sets that are similar enough share an n-gram of their prefixes in this
    order. Prefix entries meet by n-gram; pairs pass length and position filters.
-   Of an n-gram with more than ``HOT`` sets, every set is paired with a few
-   leaders only; its entries are kept for step 4.
+   Of an n-gram with more than ``HOT`` sets, every set is paired with its
+   first one only; its entries are kept for step 4.
 3. Sets of candidate pairs are cut vertically at pivots of the global order, all
    of them, into fragments of equal weight; each fragment counts its part of every
    pair's overlap, the parts are summed per pair, and links give components. Pairs
@@ -39,9 +39,9 @@ from skyecho.llm.graph import components
 SKETCH_BITS = 22
 CHUNK = 1 << 16
 FILTER_BITS = 26
-HOT, LEADERS = 48, 4
+HOT, LEADERS = 48, 1
 #: Partners in the turns before all pairs across components are compared.
-TURNS = (6, 6, 6)
+TURNS = (2, 4, 6)
 #: Sets of an n-gram and range of sizes that are compared with each other at once.
 BLOCK = 4096
 #: Fragments of a set at least, n-grams of a cluster in one fragment, and ranges of the global order, of which a fragment has some.
@@ -359,33 +359,40 @@ def _sets(n: int, wanted: Broadcast) -> Callable:
     return run
 
 
-def _overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
-    """How much of each pair's sets is equal within this fragment."""
-    flat = segments.column("grams").combine_chunks()
-    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U64)
-    place = {k: i for i, k in enumerate(segments.column("key").to_pylist())}
-    size = segments.column("n").to_pylist()
-    # One number for each different n-gram, so that a pair's overlap is a look-up in a table of marks.
-    ids = np.unique(values, return_inverse=True)[1]
-    marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-    own = lambda k: ids[offsets[place[k]] : offsets[place[k] + 1]]
-    out: list[tuple] = []
-    previous = None
-    for a, b in sorted((a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if a in place and b in place):
-        if a != previous:
-            if previous is not None:
-                marked[own(previous)] = False
-            previous = a
-            marked[own(previous)] = True
-        if count := int(np.count_nonzero(marked[own(b)])):
-            out.append((a, b, size[place[a]], size[place[b]], count))
-    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "na", "nb", "common"), zip(*out, strict=True) if out else [[]] * 5, strict=True)})
+def _overlaps(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """How much of each pair's sets is equal within a fragment. A pair that differs here alone in more n-grams than a link
+    may in all is left out: without this part its sum stays below that of a link, as it would with it."""
+
+    def run(pairs: pa.Table, segments: pa.Table) -> pa.Table:
+        flat = segments.column("grams").combine_chunks()
+        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(U64)
+        place = {k: i for i, k in enumerate(segments.column("key").to_pylist())}
+        size = segments.column("n").to_pylist()
+        # One number for each different n-gram, so that a pair's overlap is a look-up in a table of marks.
+        ids = np.unique(values, return_inverse=True)[1]
+        marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+        own = lambda k: ids[offsets[place[k]] : offsets[place[k] + 1]]
+        out: list[tuple] = []
+        previous = None
+        for a, b in sorted((a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if a in place and b in place):
+            if a != previous:
+                if previous is not None:
+                    marked[own(previous)] = False
+                previous = a
+                marked[own(previous)] = True
+            one, other = own(a), own(b)
+            count = int(np.count_nonzero(marked[other]))
+            if count and (100 + percent) * (len(one) + len(other) - 2 * count) <= (100 - percent) * (size[place[a]] + size[place[b]]):
+                out.append((a, b, size[place[a]], size[place[b]], count))
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "na", "nb", "common"), zip(*out, strict=True) if out else [[]] * 5, strict=True)})
+
+    return run
 
 
 def _links(pairs: DataFrame, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough: partial overlaps by fragment, summed per pair."""
     placed = pairs.join(members.withColumnRenamed("key", "a"), "a").select("a", "b", "bucket", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"))
-    parts = placed.groupBy("bucket", "fragment").cogroup(segments.groupBy("bucket", "fragment")).applyInArrow(_overlaps, "a long, b long, na long, nb long, common long")
+    parts = placed.groupBy("bucket", "fragment").cogroup(segments.groupBy("bucket", "fragment")).applyInArrow(_overlaps(percent), "a long, b long, na long, nb long, common long")
     total = parts.groupBy("a", "b").agg(F.sum("common").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
