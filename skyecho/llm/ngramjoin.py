@@ -6,8 +6,9 @@ vertical partitioning.
    first). Equal sets become one class.
 2. Two sets that are similar enough share an n-gram of their prefixes in this
    order. Prefix entries meet by n-gram; pairs pass length and position filters.
-   Of an n-gram with more than ``HOT`` sets, every set is paired with its
-   first one only; its entries are kept for step 4.
+   Of an n-gram with more than ``HOT`` sets, every set is paired with the
+   first ones only, those with the fewest rarer n-grams and so the least changed
+   of a crowd; its entries are kept for step 4.
 3. Sets of candidate pairs are cut vertically at pivots of the global order, all
    of them, into fragments of equal weight; each fragment counts its part of every
    pair's overlap, the parts are summed per pair, and links give components. Pairs
@@ -39,7 +40,7 @@ from skyecho.llm.graph import components
 SKETCH_BITS = 22
 CHUNK = 1 << 16
 FILTER_BITS = 26
-HOT, LEADERS = 48, 1
+HOT, LEADERS = 48, 2
 #: Partners in the turns before all pairs across components are compared.
 TURNS = (2, 4, 6)
 #: Sets of an n-gram and range of sizes that are compared with each other at once.
@@ -194,7 +195,7 @@ FOUND = "kind byte, a long, b long, token long, n int, pos int"
 
 
 def _candidates(percent: int, hot: int, leaders: int) -> Callable:
-    """From entries sorted by n-gram and key: pairs (kind 0), entries of frequent n-grams (1)
+    """From entries sorted by n-gram, place and key: pairs (kind 0), entries of frequent n-grams (1)
     and ties of their sets to the leaders (2), which only keep a cluster together."""
 
     def starred(rows: list[np.ndarray], lead: list[np.ndarray], out: list) -> None:
@@ -462,7 +463,7 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
         sketch[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(own)] = own[: len(sketch) - r["chunk"] * CHUNK]
     table = spark.sparkContext.broadcast(sketch)
     entries = docs.select(text).mapInArrow(_prefixes(n, percent, sketch_bits, table), "token long, key long, n int, pos int")
-    found = written(entries.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(_candidates(percent, hot, LEADERS), FOUND), "candidates")
+    found = written(entries.repartition(width, "token").sortWithinPartitions("token", "pos", "key").mapInArrow(_candidates(percent, hot, LEADERS), FOUND), "candidates")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     clusters = components(found.where("kind <> 1"))
