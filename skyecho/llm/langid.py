@@ -1,22 +1,22 @@
 """Language by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded amount of labelled
-text. A document is parsed against it into phrases, each the longest match of
+For each language a suffix automaton is built over a bounded amount of whole
+labelled texts. A document is parsed against it into phrases, each the longest match of
 what remains with any place of that text; phrases times log2 of the text's
 length, per character, estimate the cross entropy, and the language with the
 fewest such normalised phrases wins.
 
 Texts become letter codes first: lower case, every run of other characters one
 separator. Codes are parsed in blocks of ``BLOCK`` (a phrase ends with its
-block), many blocks and all languages at once: one table look-up moves every
-lane a character on.
+block), many blocks and all languages at once: a look-up moves every lane a
+character on. Most states of an automaton lead on by one letter only; that one
+stands beside the state, and the others in one sorted array.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import blocks, enter
+from skyecho.llm.common import blocks, clashing, enter
 
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -46,7 +46,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Codes:
-    """Code 0 is the separator, 1 to ``len(alphabet)`` the letters, the last one any other letter."""
+    """Code 0 is the separator, 1 to ``len(alphabet)`` the letters learned, the last one any other letter."""
 
     alphabet: str
 
@@ -55,7 +55,7 @@ class Codes:
         return len(self.alphabet) + 2
 
     def table(self) -> np.ndarray:
-        out = np.where(letters(), self.size - 1, 0).astype(np.uint8)
+        out = np.where(letters(), self.size - 1, 0).astype(np.int32)
         out[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
         return out
 
@@ -70,8 +70,8 @@ class Codes:
         return codes[keep], place[first]
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """Transitions by state and code, -1 where there is none; state 0 is the start."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions by state; state 0 is the start."""
     to: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -98,21 +98,46 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     to[at][c] = twin
                     at = link[at]
         last = new
-    out = np.full((len(to), size), -1, np.int32)
-    for state, own in enumerate(to):
-        if own:
-            out[state, list(own)] = list(own.values())
-    return out
+    return to
 
 
-@dataclass
 class Model:
-    languages: list[str]
-    codes: Codes
-    #: Of all languages' states in one array, already times the number of codes.
-    step: np.ndarray
-    start: np.ndarray
-    log_length: np.ndarray
+    """Automata of all languages, state after state in the same arrays."""
+
+    def __init__(self, languages: list[str], codes: Codes, automata: list[list[dict[int, int]]], log_length: list[float]) -> None:
+        self.languages, self.codes, self.log_length = languages, codes, np.array(log_length)
+        self.start = np.cumsum([0, *map(len, automata)])[:-1]
+        states = sum(map(len, automata))
+        #: A state's first letter (-1: none) and where it leads, whether it has more, and from each start by letter (-1: nowhere).
+        self.letter, self.lead = np.full(states, -1, np.int32), np.zeros(states, np.int32)
+        self.more = np.zeros(states, bool)
+        self.begin = np.full((len(automata), codes.size), -1, np.int32)
+        keys: list[int] = []
+        values: list[int] = []
+        for k, (base, to) in enumerate(zip(self.start.tolist(), automata, strict=True)):
+            for c, there in to[0].items():
+                self.begin[k, c] = base + there
+            for state, own in enumerate(to, base):
+                rest = iter(own.items())
+                for c, there in rest:
+                    self.letter[state], self.lead[state] = c, base + there
+                    break
+                for c, there in rest:
+                    self.more[state] = True
+                    keys.append(state * codes.size + c)
+                    values.append(base + there)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(values, np.int32)[order], 0)
+
+    def step(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where each lane (languages by blocks) gets with its block's letter, -1 for nowhere."""
+        hit = self.letter[at] == codes
+        to = np.where(hit, self.lead[at], -1)
+        if (open_ := ~hit & self.more[at]).any():
+            key = at[open_].astype(np.int64) * self.codes.size + np.broadcast_to(codes, at.shape)[open_]
+            place = np.searchsorted(self.keys, key)
+            to[open_] = np.where(self.keys[place] == key, self.values[place], -1)
+        return to
 
     def phrases(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
@@ -122,16 +147,16 @@ class Model:
         order = np.argsort(-size, kind="stable")
         begin, owner, size = begin[order], owner[order], size[order]
         live = len(begin) - np.searchsorted(size[::-1], np.arange(1, BLOCK + 1), side="left")
-        start = self.start[:, None].astype(np.int64)
+        start = self.start[:, None].astype(np.int32)
         at = np.repeat(start, len(begin), axis=1)
         count = np.ones((len(self.languages), len(begin)), np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
             c = codes[begin[:n] + t]
-            to = self.step[at[:, :n] + c]
+            to = self.step(at[:, :n], c)
             if (miss := to < 0).any():
                 count[:, :n] += miss
-                again = self.step[start + c]
+                again = self.begin[:, c]
                 to = np.where(miss, np.where(again < 0, start, again), to)
             at[:, :n] = to
         out = np.zeros((len(first) - 1, len(self.languages)))
@@ -152,60 +177,50 @@ class Model:
         return np.where(none, -1, best), np.where(none, 0.0, score)
 
 
-def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 400, codes_per_language: int = 65_536, alphabet: int = 120) -> Model | None:
+def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", codes_per_language: int = 131_072) -> Model | None:
     """A model of the rows where ``learn`` holds and the language isn't null; None if there are none.
 
-    The bound of what is learned from: of each language the ``rows_per_language``
-    rows with the smallest hash of ``key``, each giving an equal share of at most
-    ``codes_per_language`` codes out of its middle, over the ``alphabet`` most
-    frequent letters. The model takes about 2 x codes x (alphabet + 2) x 4 bytes a
-    language at most.
+    The bound of what is learned from: of each language whole texts, in the order of the
+    hash of ``key`` (ties by key and text), as long as they have ``codes_per_language``
+    characters together; a longer text is passed over, but for the shortest of a language
+    that has no other. Every letter of those texts has a code of its own. The model takes about
+    2 x characters x 30 bytes a language.
     """
-    own = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in own.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    own = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text, F.col(key).alias("_key"), F.length(text).cast("long").alias("_len"))
+    sums = own.groupBy(lang).agg(F.sum(F.when(F.col("_len") <= codes_per_language, F.col("_len") + 1)).alias("n"), F.min("_len").alias("least")).collect()  # a row per language
+    if not sums:
         return None
-    spread = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20))
-    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3 * rows_per_language / n) * (1 << 20)) + 1)))
-    few = own.where(spread < rate[F.col(lang)]).select(lang, text, F.col(key).alias("_key"), spread.alias("_at"))
+    spread = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 24))
+    # About twice as much as is taken leaves the scan; longer texts than the bound stay only where there is no other.
+    rate = F.create_map(*(F.lit(x) for r in sums for x in (r[lang], int(min(1.0, (2 * codes_per_language + 65_536) / max(1, r["n"] or 1)) * (1 << 24)) + 1)))
+    most = F.create_map(*(F.lit(x) for r in sums for x in (r[lang], codes_per_language if r["n"] else r["least"])))
+    some = own.withColumn("_at", spread).where((F.col("_at") < rate[F.col(lang)]) & (F.col("_len") <= most[F.col(lang)]))
     order = Window.partitionBy(lang).orderBy("_at", "_key", text)
-    rows = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_language).select(lang, F.substring(text, 1, 1).alias("_"), text).select(lang, text)
-    share = max(64, codes_per_language // rows_per_language)
-    long = 8 * share
-    # A document's share is cut from its middle here so that long texts don't reach the driver whole.
-    middle = F.expr(f"substring({text}, greatest(1, cast((length({text}) - {long}) / 2 as int)), {long})")
+    upto = F.sum(F.col("_len") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    taken = some.withColumns({"_sum": upto, "_n": F.row_number().over(order)}).where((F.col("_sum") <= codes_per_language) | (F.col("_n") == 1))
     texts: dict[str, list[str]] = {}
-    for r in rows.select(lang, middle.alias(text)).orderBy(lang, text).collect():
+    for r in taken.select(lang, text, "_n").orderBy(lang, "_n").collect():  # of bounded length
         texts.setdefault(r[lang], []).append(r[text])
-    seen = Counter(c for own in texts.values() for t in own for c in t.lower() if unicodedata.category(c)[0] == "L")
-    codes = Codes("".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:alphabet])))
+    codes = Codes("".join(sorted({c for own in texts.values() for t in own for c in t.lower() if unicodedata.category(c)[0] == "L"})))
     table = codes.table()
-    languages, steps, starts, lengths = [], [], [], []
-    base = 0
+    languages, automata, lengths = [], [], []
     for language in sorted(texts):
-        got, first = codes(texts[language], table)
-        each = max(share, codes_per_language // len(texts[language]))
-        sample = np.concatenate([got[a : min(b, a + each)] for a, b in zip(first[:-1], first[1:], strict=True)])[:codes_per_language]
-        if not sample.any():
-            continue
-        step = suffix_automaton(sample.tolist(), codes.size).astype(np.int64)
-        steps.append(np.where(step >= 0, (step + base) * codes.size, -1).ravel())
-        starts.append(base * codes.size)
-        languages.append(language)
-        lengths.append(math.log2(max(2, len(sample))))
-        base += len(step)
-    if not languages:
-        return None
-    step = np.concatenate(steps)
-    return Model(languages, codes, step.astype(np.int32) if base * codes.size < 2**31 else step, np.array(starts, np.int64), np.array(lengths))
+        sample, _ = codes(texts[language], table)
+        if sample.any():
+            languages.append(language)
+            automata.append(suffix_automaton(sample.tolist()))
+            lengths.append(math.log2(max(2, len(sample))))
+    return Model(languages, codes, automata, lengths) if languages else None
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of every row's whole text.
 
     ``und`` and 0 for null texts, texts without a letter, and without a model.
-    Equal entropies go to the language that sorts first.
+    Equal entropies go to the language that sorts first. Repeated rows get a row each; kept
+    columns named as the results are an error.
     """
+    clashing(df.select(*keep), "lang_pred", "score")
     kept = df.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", lang_pred string, score double"
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -138,7 +138,7 @@ def with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.join(F.broadcast(ahead), "_key", "left")
     places = F.array_compact(F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("g")), F.when(F.col("_into").isNotNull(), F.struct(F.col("_into").alias("b"), F.lit(1).alias("g")))))
     dealt = rows.select(key, "_key", "_text", F.explode(places).alias("_at")).select(key, "_key", "_text", F.col("_at.b").alias("_block"), F.col("_at.g").alias("_ahead"))
-    ordered = dealt.repartition(width, "_block").sortWithinPartitions("_block", "_ahead", "_key", "_text")
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("_block")).sortWithinPartitions("_block", "_ahead", "_key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lzprint")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyecho.llm.bpe import KEEP_PIECES, Remembered
-from skyecho.llm.common import blocks, drops, enter, written
+from skyecho.llm.common import blocks, clashing, drops, enter, written
 
 #: Pieces in a shard, on average.
 SHARD_PIECES = 16_384
@@ -248,7 +248,8 @@ def pack_lengths(lengths: np.ndarray, capacity: int = 4096, large: int | None =
 def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (id, piece, length from 1 to ``capacity``, any other columns) with
     ``sequence_id`` and ``offset``. Equal rows stay separate pieces. Reads ``pieces``
-    twice (a count, then the packing): give it a stored table."""
+    twice (a count, then the packing): give it a stored table. Columns named ``sequence_id``, ``offset`` or ``_shard`` are an error."""
+    clashing(pieces, "sequence_id", "offset", "_shard")
     n = pieces.count()
     shards = max(1, round(n / shard_pieces))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

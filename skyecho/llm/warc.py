@@ -4,8 +4,9 @@ A capture is written as three records: the request, the response (or a revisit
 of an earlier payload) and metadata, the first and last concurrent to the
 second. Records are complete strings ended by the text writer's separator, so
 the files need nothing but Spark's own writer and can go to any store; they are
-gzip files of bounded size. Reading takes whole files through Spark's binary
-source, follows each record's Content-Length, and joins the records of a
+gzip files of about FILE_BYTES each. Which captures are revisits is found without
+moving payloads. Reading takes files through Spark's binary source, inflates them
+piece by piece, follows each record's Content-Length, and joins the records of a
 transaction through their concurrent-to identifiers.
 """
 
@@ -20,7 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyecho.llm.common import written
+
 EOL = "\r\n"
+#: Bytes of records in a file, about, and bytes inflated at once.
+FILE_BYTES, PIECE = 64 << 20, 1 << 20
+#: Rows of two numbers and an id that may be broadcast.
+BROADCAST_ROWS = 400_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -43,19 +50,31 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(EOL + EOL), block)
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url: str = "url", html: str = "html", per_file: int = 20_000) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Writes every row of ``pages`` as a capture with the UTF-8 ``html`` (null: empty) as payload.
 
     Of the captures with equal payloads of at least ``min_bytes`` bytes the one with
     the largest id is the response (of rows that repeat an id, the last read) and
     the others revisit it; smaller payloads are all responses. Null ids sort first.
+    Other columns are left out. Rows are numbered as they are read: what isn't a plain scan, and so might come in
+    another order the second time, is stored first.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("body")), "bytes": F.octet_length("body"), "own": F.struct("id", "row")})
-    kept = rows.groupBy("digest").agg(F.max("own").alias("keeper")).withColumnRenamed("digest", "_digest")
-    all_ = rows.join(kept, rows["digest"] == kept["_digest"])
-    revisit = (F.col("bytes") >= min_bytes) & ~F.col("own").eqNullSafe(F.col("keeper"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"))
+    if "Exchange" in pages._jdf.queryExecution().executedPlan().toString():
+        rows = written(rows, "pages")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumns({"digest": base32_sha1(F.col("body")), "bytes": F.octet_length("body").cast("long")})
+    # The decisions need no payload: only numbers and digests are shuffled.
+    light = written(rows.select("id", "row", "digest", "bytes"), "digests")
+    several = light.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = written(several, "keepers")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    again = light.join(few(several), "digest").where(~F.struct("id", "row").eqNullSafe(F.col("keeper")))
+    again = written(again.select("row", "keeper"), "revisits")
+    all_ = rows.join(few(again), "row", "left")
+    revisit = F.col("keeper").isNotNull()
+    total = light.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    per_file = max(1, int(file_bytes / (1500 + total[1] / max(1, total[0]))))
     capture, request, metadata = (_urn(F.lit(kind), F.col("id"), F.col("row")) for kind in ("capture", "request", "metadata"))
     uri = ("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1f\x7f]", "%20"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
@@ -79,31 +98,63 @@ RECORD = "type string, record_id string, concurrent_to string, refers_to string,
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 
+def _inflated(content: bytes) -> Iterator[bytes]:
+    """The bytes of an archive (plain, or gzip of one or many members), piece by piece."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while content:
+        one = zlib.decompressobj(31)
+        rest = content
+        while not one.eof and rest:
+            yield one.decompress(rest, PIECE)
+            rest = one.unconsumed_tail
+        while not one.eof:
+            if not (more := one.decompress(b"", PIECE)):
+                raise ValueError("the archive ends within a gzip member")
+            yield more
+        content = one.unused_data.lstrip(b"\0")
+
+
 def parse(content: bytes) -> Iterator[dict]:
-    """The records of an archive (plain, or gzip of one or many members)."""
-    if content[:2] == b"\x1f\x8b":
-        parts = []
-        while content:
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(content))
-            content = one.unused_data.lstrip(b"\0")
-        content = b"".join(parts)
-    at = 0
+    """The records of an archive. Holds one record and a piece of what follows beside the archive itself."""
+    pieces = _inflated(content)
+    held, done, ended = bytearray(), 0, False
+
+    def more(size: int) -> bool:
+        """Reads on until so many bytes are held; False at the end."""
+        nonlocal ended
+        while len(held) < size and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            held.extend(piece or b"")
+        return len(held) >= size
+
     while True:
-        while content[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(content):
+        while more(2) and held[:2] == b"\r\n":
+            del held[:2]
+            done += 2
+        if not more(1):
             return
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0 or content[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
+        end = -1
+        size = 1 << 12
+        while end < 0 and (more(size) or not end + 1):
+            end = held.find(b"\r\n\r\n")
+            if ended:
+                break
+            size = max(size, len(held)) + (1 << 12)
+        if end < 0 or held[:5] != b"WARC/":
+            raise ValueError(f"no WARC record at byte {done}")
         head = {}
-        for line in content[at:end].decode("utf-8", "replace").split(EOL)[1:]:
+        for line in held[:end].decode("utf-8", "replace").split(EOL)[1:]:
             name, _, value = line.partition(":")
             head.setdefault(name.strip().lower(), value.strip())
         begin = end + 4
-        at = begin + int(head["content-length"])
-        kind, block = head.get("warc-type"), content[begin:at]
+        stop = begin + int(head["content-length"])
+        more(stop)
+        kind, block = head.get("warc-type"), bytes(held[begin:stop])
+        del held[:stop]
+        done += stop
         http = payload = fields = None
         if head.get("content-type", "").startswith("application/http"):
             cut = block.find(b"\r\n\r\n")
@@ -176,4 +227,7 @@ def captures(assembled: DataFrame, id_col: str = "page_id") -> DataFrame:
 def with_targets(flat: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Adds ``refers_to``, the id of the capture that a revisit names (null: none, or not in these archives)."""
     targets = flat.where(F.col("record_type") == "response").select(F.col("_own").alias("_to"), F.col(id_col).alias("refers_to"))
-    return flat.join(targets, "_to", "left").drop("_own", "_to")
+    # Responses name none; they stay out of the join, where they would be one key.
+    revisits = flat.where(F.col("_to").isNotNull()).join(targets, "_to", "left").drop("_own", "_to")
+    rest = flat.where(F.col("_to").isNull()).drop("_own", "_to").withColumn("refers_to", F.lit(None).cast(flat.schema[id_col].dataType))
+    return rest.unionByName(revisits)

@@ -132,6 +132,13 @@ def test_line_dedup(spark, options):
         assert out[i].text == kept and out[i].n_removed == len(want.get(i, ())) and out[i].lines == "clash"
 
 
+def test_line_counts_that_clash(spark):
+    df = spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, n_lines int")
+    with pytest.raises(ValueError, match="n_lines"):
+        linededup.dedup(df, counts=True)
+    assert linededup.dedup(df).first().n_lines == 3
+
+
 def test_line_dedup_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c\nd"), (1, "a b c\nd"), (2, "d\ne")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in linededup.dedup(df).collect()) == [(1, "a b c\nd"), (1, "a b c\nd"), (2, "e")]
@@ -218,6 +225,30 @@ def test_parsing_members_and_orphans(spark):
     assert len(alone) == 1 and alone[0].response is None and len(alone[0].requests) == 2
 
 
+def test_archives_of_many_files_and_shuffled_pages(spark):
+    rows = [(i, f"http://x.example/{i}", ("same " * 40) if i % 3 == 0 else f"page {i} " * (i % 50)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5, "html")
+    path = scratch(spark, "warc-many")
+    warc.write(pages, path, file_bytes=20_000)
+    assert len(spark.read.format("binaryFile").load(path).select("path").collect()) > 10
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.with_targets(warc.captures(warc.assemble(warc.read(spark, path)))).collect()}
+    last: dict = {}
+    for i, _, body in rows:
+        last[body] = i
+    assert got == {i: ("response", None) if last[body] == i else ("revisit", last[body]) for i, _, body in rows}
+
+
+def test_parsing_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 7)
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nX: {'h' * (i * 3000)}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    bodies = ["", "a" * 5000, "WARC/1.1\r\n\r\n", "z"]
+    whole = b"".join(record(i, b) for i, b in enumerate(bodies))
+    for content in (whole, gzip.compress(whole), gzip.compress(whole[:100]) + gzip.compress(whole[100:])):
+        assert [r["payload"].decode() for r in warc.parse(content)] == bodies
+    with pytest.raises(ValueError, match="gzip"):
+        list(warc.parse(gzip.compress(whole)[:-30]))
+
+
 def luhn(s: str) -> bool:
     digits = [int(c) for c in re.sub(r"\D", "", s)][::-1]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0

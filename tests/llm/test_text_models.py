@@ -101,7 +101,7 @@ DE, EN = "der hund und die katze schlafen im haus ", "the dog and the cat are sl
 
 def test_suffix_automaton_finds_longest_matches():
     text, query = [1, 2, 1, 1, 2, 3, 1], [1, 1, 2, 1, 3, 3, 1, 4]
-    model = langid.Model(["x"], langid.Codes("abcd"), *(lambda s: (np.where(s >= 0, s * 6, -1).ravel().astype(np.int32), np.zeros(1, np.int64)))(langid.suffix_automaton(text, 6)), np.ones(1))
+    model = langid.Model(["x"], langid.Codes("abcd"), [langid.suffix_automaton(text)], [1.0])
     inside = lambda part: any(text[i : i + len(part)] == part for i in range(len(text)))
     count, at = 0, 0
     while at < len(query):
@@ -112,6 +112,29 @@ def test_suffix_automaton_finds_longest_matches():
     assert model.phrases(np.array(query, np.uint8), np.array([0, len(query)]))[0, 0] == count
 
 
+def test_letters_of_any_script_and_whole_texts(spark):
+    zh, ja, ko = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "いろはにほへとちりぬるをわかよたれそつねならむ", "가나다라마바사아자차카타파하거너더러머버서어저처"
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices(own, k=90)), lang) for i, (lang, own) in enumerate((("zh", zh), ("zt", zh[::-1][:12]), ("ja", ja), ("ko", ko)) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.col("doc_id") % 5 != 2, codes_per_language=2000)
+    got = langid.identify(df, model, keep=("doc_id", "lang")).toPandas()
+    assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and model.codes.size > 60
+    one = spark.createDataFrame([(1, "ab " * 900, "x"), (2, "ab " * 1000, "x")], df.schema)
+    assert langid.train(one, F.lit(True), codes_per_language=50).log_length[0] == pytest.approx(np.log2(2701))
+    with pytest.raises(ValueError, match="score"):
+        langid.identify(df.withColumn("score", F.lit(1)), model, keep=("doc_id", "score"))
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, 0, 5)], "doc_id long, piece int, length int")
+    for name in ("_shard", "offset"):
+        with pytest.raises(ValueError, match=name):
+            packing.pack(df.withColumn(name, F.lit(1)))
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode(df.withColumns({"n_tokens": F.lit(1), "text": F.lit("x")}), BYTE, keep=("doc_id", "n_tokens"))
+
+
 def test_language(spark):
     rows = [(i, (DE if i % 2 else EN) * (1 + i % 5), "de" if i % 2 else "en", "s") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
