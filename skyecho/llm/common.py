@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,12 @@ def blocks(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes]]]:
+    """A text column as UTF-8 (null: empty) in parts of about ``most`` bytes, one at a time."""
+    for part in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield part, [t or b"" for t in column.slice(part.start, part.stop - part.start).cast(pa.binary()).to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finishing steps of a 64-bit avalanche hash, on unsigned 64-bit values."""
     x = x.astype(U64, copy=True)
@@ -194,6 +202,7 @@ def enter(owner: str) -> None:
             import gc
 
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)  # else freed memory stays with the worker
             except (OSError, AttributeError):

@@ -28,13 +28,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from skyecho.llm.common import U64, blocks, enter, mix64, shuffle_width, word_hashes, written
+from skyecho.llm.common import U64, enter, mix64, shuffle_width, text_blocks, word_hashes, written
 from skyecho.llm.graph import components
 
 SKETCH_BITS = 22
@@ -83,25 +82,29 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([total ^ len(grams)], U64)).astype(np.int64)[0])
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
-    for part in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK_BYTES):
-        yield part, [t or b"" for t in column.slice(part.start, part.stop - part.start).cast(pa.binary()).to_pylist()]
-
-
 def _described(n: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ngramjoin")
         counts = np.zeros(1 << bits, np.uint32)
         kind = pa.int64()
         nulls = lambda k, t: pa.nulls(k, t)
+        held: list[np.ndarray] = []
+
+        def count(least: int) -> None:
+            """Counts what is held, once it is so much that the table is worth a pass."""
+            if sum(map(len, held)) > least:
+                counts[:] += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                held.clear()
+
         for batch in batches:
-            for part, texts in _texts(batch.column(1)):
+            for part, texts in text_blocks(batch.column(1), BLOCK_BYTES):
                 sets = ngram_sets(texts, n)
                 keys = [set_key(s) for s in sets]
-                if sets and sum(map(len, sets)):
-                    counts += np.bincount((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                held.extend((own >> U64(64 - bits)).astype(np.uint32) for own in sets)
+                count(1 << 20)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, k), pa.array([len(s) for s in sets], kind), pa.array(keys, kind), nulls(k, pa.int32()), nulls(k, pa.binary())], ["id", "n", "key", "chunk", "counts"])
+        count(0)
         if counts.any():
             small = np.minimum(counts, 255).astype(np.uint8)
             for c in range(0, 1 << bits, CHUNK):
@@ -126,7 +129,7 @@ def _prefixes(n: int, percent: int, bits: int, sketch: Broadcast) -> Callable:
         often: np.ndarray = sketch.value
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in _texts(batch.column(0)):
+            for _, texts in text_blocks(batch.column(0), BLOCK_BYTES):
                 tokens, keys, sizes, places = [], [], [], []
                 for grams in ngram_sets(texts, n):
                     size = len(grams)
@@ -152,7 +155,7 @@ def _prefixes(n: int, percent: int, bits: int, sketch: Broadcast) -> Callable:
 
 def pivots(sketch: np.ndarray, ranges: int = RANGES) -> np.ndarray:
     """Where the global order (step, then hash) is cut: ``ranges`` parts with about as many n-grams each."""
-    weight = np.bincount(sketch, (np.exp2(sketch / 4) - 1), 256)
+    weight = np.bincount(sketch, minlength=256) * (np.exp2(np.arange(256) / 4) - 1)
     ends = np.cumsum(weight)
     at = np.arange(1, ranges) * (ends[-1] / ranges) if ends[-1] else np.zeros(0)
     step = np.minimum(np.searchsorted(ends, at, side="left"), 255)
@@ -169,6 +172,7 @@ def _cut(bits: int, sketch: Broadcast) -> Callable:
         at = pivots(often)
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for key, n, bucket, fragments, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
                 own = grams.values.to_numpy().view(U64)
                 place = (often[(own >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (own >> U64(8))
@@ -178,8 +182,16 @@ def _cut(bits: int, sketch: Broadcast) -> Callable:
                 first = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
                 for a, b in zip(first, [*first[1:], len(own)], strict=True):
                     out.append((key, n, bucket, int(fragment[a]), own[a:b].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["key", "n", "bucket", "fragment", "grams"])
+                held += len(own)
+                if held > 500_000:
+                    yield batch_of(out)
+                    out, held = [], 0
+            yield batch_of(out)
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["key", "n", "bucket", "fragment", "grams"])
 
     return run
 
@@ -344,7 +356,7 @@ def _sets(n: int, wanted: Broadcast) -> Callable:
         bits = np.frombuffer(wanted.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in _texts(batch.column(0)):
+            for _, texts in text_blocks(batch.column(0), BLOCK_BYTES):
                 keys, sets = [], []
                 for grams in ngram_sets(texts, n):
                     if not len(grams) or (key := set_key(grams)) in seen:

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import IS_SPACE, blocks, clashing, enter, mix64, word_hashes
+from skyecho.llm.common import IS_SPACE, clashing, enter, mix64, text_blocks, word_hashes
 
 PAIR_BUCKETS = 128
+#: Bytes of texts that are described at once.
+BLOCK_BYTES = 1_000_000
 #: Kinds of bytes: lower case, upper case, digits, white space, other ASCII, beyond ASCII.
 KIND = np.full(256, 4, np.uint8)
 KIND[ord("a") : ord("z") + 1] = 0
@@ -223,10 +225,9 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
         enter("quality")
         model: Model | None = shared.value
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
-            out = np.full(len(texts), 0.5)
-            for part in blocks([len(t) for t in texts], 1_000_000) if model else ():
-                out[part] = model.score(texts[part])
+            out = np.full(batch.num_rows, 0.5)
+            for part, texts in text_blocks(batch.column(at), BLOCK_BYTES) if model else ():
+                out[part] = model.score(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out)], [*keep, "score"])
 
     return kept.mapInArrow(run, schema)
@@ -243,10 +244,9 @@ def accepted(df: DataFrame, model: Model | None, threshold: float = 0.7, text: s
         enter("quality")
         model: Model = shared.value
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
-            good = np.zeros(len(texts), bool)
-            for part in blocks([len(t) for t in texts], 1_000_000):
-                good[part] = model.score(texts[part]) >= threshold
-            yield batch.filter(pa.array(good))
+            # Part by part, so that a worker holds few texts beside the batch.
+            for part, texts in text_blocks(batch.column(at), BLOCK_BYTES):
+                own = batch.slice(part.start, part.stop - part.start)
+                yield own.filter(pa.array(model.score(texts) >= threshold))
 
     return df.mapInArrow(run, df.schema)
