@@ -203,9 +203,8 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enter("quality")
     for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-        for part in blocks([len(t) for t in texts], 1_000_000):
-            x = features(texts[part])
+        for part, texts in text_blocks(batch.column(2), BLOCK_BYTES):
+            x = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(x)), batch.column(1).slice(part.start, len(x)), pa.array([row.tobytes() for row in x], pa.binary())], ["_kind", "_key", "x"])
 
 
