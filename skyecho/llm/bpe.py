@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from skyecho.llm.common import blocks, clashing, drops, enter
+from skyecho.llm.common import blocks, clashing, drops, enter, small_batches
 
 #: The public pre-tokenization pattern of byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+")
@@ -210,6 +210,7 @@ def digests(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
 
 def _coded(df: DataFrame, vocabulary: str, text: str, keep: tuple[str, ...], decode: bool, digests: bool) -> DataFrame:
     clashing(df.select(*keep), "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
+    small_batches(df.sparkSession)
     kept = df.select(*keep, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>" + ", decoded string" * decode

@@ -71,6 +71,18 @@ def clashing(df: DataFrame, *names: str, prefix: str | None = None) -> None:
         raise ValueError(f"the input has columns that the operator adds: {', '.join(bad)}; rename them first")
 
 
+#: Bytes of an Arrow batch of texts: a worker and the executor hold several copies of one.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES, unless they already end before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4 (null ids: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import blocks, clashing, enter
+from skyecho.llm.common import blocks, clashing, enter, small_batches
 
 BLOCK = 1024
 UNDETERMINED = "und"
@@ -221,6 +221,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     columns named as the results are an error.
     """
     clashing(df.select(*keep), "lang_pred", "score")
+    small_batches(df.sparkSession)
     kept = df.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", lang_pred string, score double"
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import enter, segment_hashes, shuffle_width, U64
+from skyecho.llm.common import U64, enter, segment_hashes, shuffle_width, small_batches
 
 COMPONENTS = 64
 _random = np.random.default_rng(20)
@@ -120,6 +120,7 @@ def with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     streamed once in order and no range has to fit into memory.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = df.schema[key].dataType.simpleString()
     width = shuffle_width(spark)

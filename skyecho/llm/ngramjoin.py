@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from skyecho.llm.common import U64, enter, mix64, shuffle_width, text_blocks, word_hashes, written
+from skyecho.llm.common import U64, enter, mix64, shuffle_width, small_batches, text_blocks, word_hashes, written
 from skyecho.llm.graph import components
 
 SKETCH_BITS = 22
@@ -465,6 +465,7 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     spark = df.sparkSession
     if not isinstance(df.schema[id_col].dataType, IntegralType):
         raise ValueError(f"{id_col} must be an integer column")
+    small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), text)
     width = shuffle_width(spark)
     described = written(docs.mapInArrow(_described(n, sketch_bits), "id long, n long, key long, chunk int, counts binary"), "described")

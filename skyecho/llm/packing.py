@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyecho.llm.bpe import KEEP_PIECES, Remembered
-from skyecho.llm.common import blocks, clashing, drops, enter, written
+from skyecho.llm.common import blocks, clashing, drops, enter, small_batches, written
 
 #: Pieces in a shard, on average.
 SHARD_PIECES = 16_384
@@ -274,4 +274,5 @@ def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     Null texts count as empty (one piece: the end id). Rows that repeat an id are
     packed as documents of their own. Other columns are left out.
     """
+    small_batches(df.sparkSession)
     return pack(written(token_pieces(df, vocabulary, capacity, end_id, id_col, text, keep=keep), "pieces"), capacity, id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import IS_SPACE, clashing, enter, mix64, text_blocks, word_hashes
+from skyecho.llm.common import IS_SPACE, clashing, enter, mix64, small_batches, text_blocks, word_hashes
 
 PAIR_BUCKETS = 128
 #: Bytes of texts that are described at once.
@@ -177,6 +177,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     are of any type that can be ordered; null keys are not learned from.
     """
     spark = df.sparkSession
+    small_batches(spark)
     known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).where("_label = 1")
     ones = known.count()
     if not ones:
@@ -215,6 +216,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
     alike, each in a row of its own. A kept column named ``score`` is an error.
     """
     clashing(df.select(*keep), "score")
+    small_batches(df.sparkSession)
     kept = df.select(*keep, text)
     at = kept.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", score double"
@@ -236,6 +238,7 @@ def accepted(df: DataFrame, model: Model | None, threshold: float = 0.7, text: s
     """The rows of ``df``, with all their columns, whose text scores ``threshold`` or more; without a model all."""
     if model is None:
         return df
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
