@@ -203,6 +203,17 @@ def drops(clear: object) -> None:
     _dropped.append(clear)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; else it stays with the worker, also while that is idle."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def enter(owner: str) -> None:
     """Called by a task: what a worker remembers for other operators goes, so that it holds one operator's at a time."""
     global _owner
@@ -210,13 +221,8 @@ def enter(owner: str) -> None:
         for clear in _dropped:
             clear()
         if _owner:
-            import ctypes
             import gc
 
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)  # else freed memory stays with the worker
-            except (OSError, AttributeError):
-                pass
+            trim()
         _owner = owner

@@ -12,7 +12,7 @@ vertical partitioning.
 3. Sets of candidate pairs are cut vertically at pivots of the global order, all
    of them, into fragments of equal weight; each fragment counts its part of every
    pair's overlap, the parts are summed per pair, and links give components. Pairs
-   are gathered by cluster, and a larger cluster has more fragments.
+   are gathered by cluster; the fragments of a large cluster are cut further.
 4. Of the kept entries, pairs of sets that are not in one component yet are
    verified the same way. First in a few turns, in which every set meets some
    others of its n-gram and size; then those outside an n-gram's largest component
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from skyecho.llm.common import U64, enter, mix64, shuffle_width, small_batches, text_blocks, word_hashes, written
+from skyecho.llm.common import U64, enter, mix64, shuffle_width, small_batches, text_blocks, trim, word_hashes, written
 from skyecho.llm.graph import components
 
 SKETCH_BITS = 22
@@ -44,8 +44,8 @@ HOT, LEADERS = 48, 2
 TURNS = (2, 4, 6)
 #: Sets of an n-gram and range of sizes that are compared with each other at once.
 BLOCK = 4096
-#: Fragments of a set at least, n-grams of a cluster in one fragment, and ranges of the global order, of which a fragment has some.
-FRAGMENTS, FRAGMENT, RANGES = 8, 1 << 20, 1 << 16
+#: Fragments of every set, and n-grams of a cluster in one of them; those of a larger cluster are cut further by hash.
+FRAGMENTS, FRAGMENT = 8, 1 << 20
 #: Entries of frequent n-grams in one task, as far as blocks of one n-gram allow.
 UNIT = 1 << 15
 #: Members of clusters (24 bytes each) that may be broadcast; beyond, the sets are shuffled to meet them.
@@ -153,7 +153,7 @@ def _prefixes(n: int, percent: int, bits: int, sketch: Broadcast) -> Callable:
     return run
 
 
-def pivots(sketch: np.ndarray, ranges: int = RANGES) -> np.ndarray:
+def pivots(sketch: np.ndarray, ranges: int) -> np.ndarray:
     """Where the global order (step, then hash) is cut: ``ranges`` parts with about as many n-grams each."""
     weight = np.bincount(sketch, minlength=256) * (np.exp2(np.arange(256) / 4) - 1)
     ends = np.cumsum(weight)
@@ -163,39 +163,6 @@ def pivots(sketch: np.ndarray, ranges: int = RANGES) -> np.ndarray:
     return (step.astype(U64) << U64(56)) | (part * ((1 << 56) - 1)).astype(U64)
 
 
-def _cut(bits: int, sketch: Broadcast) -> Callable:
-    """Each set's fragments: the n-grams of consecutive ranges of the global order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("ngramjoin")
-        often: np.ndarray = sketch.value
-        at = pivots(often)
-        for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for key, n, bucket, fragments, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                own = grams.values.to_numpy().view(U64)
-                place = (often[(own >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (own >> U64(8))
-                fragment = np.searchsorted(at, place, side="right") * fragments // RANGES
-                order = np.argsort(fragment, kind="stable")
-                own, fragment = own[order], fragment[order]
-                first = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
-                for a, b in zip(first, [*first[1:], len(own)], strict=True):
-                    out.append((key, n, bucket, int(fragment[a]), own[a:b].view(np.int64)))
-                held += len(own)
-                if held > 500_000:
-                    yield batch_of(out)
-                    out, held = [], 0
-            yield batch_of(out)
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["key", "n", "bucket", "fragment", "grams"])
-
-    return run
-
-
 def _able(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sizes allow a link, and the places do if this is the first n-gram in common."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
@@ -350,24 +317,33 @@ def _unique(*pairs: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[new]])
 
 
-def _sets(n: int, wanted: Broadcast) -> Callable:
+def _sets(n: int, wanted: Broadcast, bits: int, sketch: Broadcast) -> Callable:
+    """The fragments of each wanted set: its n-grams between two pivots of the global order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ngramjoin")
-        bits = np.frombuffer(wanted.value, np.uint8)
+        marks = np.frombuffer(wanted.value, np.uint8)
+        often: np.ndarray = sketch.value
+        cuts = pivots(often, FRAGMENTS)
         seen: set[int] = set()
         for batch in batches:
             for _, texts in text_blocks(batch.column(0), BLOCK_BYTES):
-                keys, sets = [], []
+                out: list[tuple] = []
                 for grams in ngram_sets(texts, n):
                     if not len(grams) or (key := set_key(grams)) in seen:
                         continue
                     at = key % (1 << FILTER_BITS)
-                    if bits[at >> 3] >> (at & 7) & 1:
-                        seen.add(key)
-                        keys.append(key)
-                        sets.append(grams.view(np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "n", "grams"])
+                    if not marks[at >> 3] >> (at & 7) & 1:
+                        continue
+                    seen.add(key)
+                    place = (often[(grams >> U64(64 - bits)).astype(np.int64)].astype(U64) << U64(56)) | (grams >> U64(8))
+                    part = np.searchsorted(cuts, place, side="right")
+                    order = np.argsort(part, kind="stable")
+                    own, first = grams[order].view(np.int64), np.searchsorted(part[order], np.arange(FRAGMENTS + 1))
+                    out += [(key, len(own), k, own[a:b]) for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["key", "n", "part", "grams"])
+        trim()
 
     return run
 
@@ -404,7 +380,7 @@ def _overlaps(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _links(pairs: DataFrame, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough: partial overlaps by fragment, summed per pair."""
-    placed = pairs.join(members.withColumnRenamed("key", "a"), "a").select("a", "b", "bucket", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"))
+    placed = pairs.join(members.withColumnRenamed("key", "a"), "a").select("a", "b", "bucket", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS) * F.col("subs") - 1)).alias("fragment"))
     parts = placed.groupBy("bucket", "fragment").cogroup(segments.groupBy("bucket", "fragment")).applyInArrow(_overlaps(percent), "a long, b long, na long, nb long, common long")
     total = parts.groupBy("a", "b").agg(F.sum("common").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
@@ -487,18 +463,19 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     if total:
         buckets = max(1, int(total // (FRAGMENTS * fragment)))
         # Small clusters share a bucket; one larger than a fragment is cut into several.
-        spread = volume.select("root", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.least(F.lit(RANGES), F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("volume") / fragment))).cast("int").alias("fragments")).withColumn("bucket", F.when(F.col("fragments") > FRAGMENTS, F.col("root")).otherwise(F.col("bucket")))
-        members = written(cluster.join(spread, "root").select("key", "bucket", "fragments"), "members")
+        spread = volume.select("root", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.ceil(F.col("volume") / (FRAGMENTS * fragment)).cast("int").alias("subs")).withColumn("bucket", F.when(F.col("subs") > 1, F.col("root")).otherwise(F.col("bucket")))
+        members = written(cluster.join(spread, "root").select("key", "bucket", "subs"), "members")
         position = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
         bitmap = bytearray(1 << (FILTER_BITS - 3))  # of fixed size
         for r in members.groupBy(F.bitmap_bucket_number(position + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position + 1)).alias("bits")).toLocalIterator():
             at = (r["k"] - 1) * 4096  # Spark counts positions and buckets of 4096 bytes from 1
             bitmap[at : at + len(r["bits"])] = r["bits"]
-        sets = docs.select(text).mapInArrow(_sets(n, spark.sparkContext.broadcast(bytes(bitmap))), "key long, n long, grams array<long>")
+        sets = docs.select(text).mapInArrow(_sets(n, spark.sparkContext.broadcast(bytes(bitmap)), sketch_bits, table), "key long, n long, part int, grams array<long>")
         few = members.count() <= BROADCAST_ROWS
-        placed = sets.join(F.broadcast(members) if few else members, "key").select("key", "n", "bucket", "fragments", "grams")
+        placed = sets.join(F.broadcast(members) if few else members, "key").select("key", "n", "bucket", "part", "subs", "grams", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
         # A set that was read in several partitions is the same each time.
-        segments = written(placed.mapInArrow(_cut(sketch_bits, table), "key long, n long, bucket long, fragment int, grams array<long>"), "segments")
+        cut = F.when(F.col("subs") == 1, F.col("grams")).otherwise(F.filter("grams", lambda h: F.pmod(F.xxhash64(h), F.col("subs")) == F.col("sub")))
+        segments = written(placed.select("key", "n", "bucket", (F.col("part") * F.col("subs") + F.col("sub")).alias("fragment"), cut.alias("grams")), "segments")
         links = written(_links(pairs, members, segments, percent), "links")
         # Sizes that differ by up to 100 / percent fall into one range or two neighbours.
         size = F.floor(F.log("n") / math.log(100.0001 / percent)).cast("int")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyecho.llm.bpe import KEEP_PIECES, Remembered
-from skyecho.llm.common import blocks, clashing, drops, enter, small_batches, written
+from skyecho.llm.common import blocks, clashing, drops, enter, small_batches, trim, written
 
 #: Pieces in a shard, on average.
 SHARD_PIECES = 16_384
@@ -134,6 +134,7 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
                     columns.append(pa.array(ids, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     return kept.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyecho.llm.common import IS_SPACE, clashing, enter, mix64, small_batches, text_blocks, word_hashes
+from skyecho.llm.common import IS_SPACE, clashing, enter, mix64, small_batches, text_blocks, trim, word_hashes
 
 PAIR_BUCKETS = 128
 #: Bytes of texts that are described at once.
@@ -230,6 +230,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
             for part, texts in text_blocks(batch.column(at), BLOCK_BYTES) if model else ():
                 out[part] = model.score(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out)], [*keep, "score"])
+        trim()
 
     return kept.mapInArrow(run, schema)
 
@@ -250,5 +251,6 @@ def accepted(df: DataFrame, model: Model | None, threshold: float = 0.7, text: s
             for part, texts in text_blocks(batch.column(at), BLOCK_BYTES):
                 own = batch.slice(part.start, part.stop - part.start)
                 yield own.filter(pa.array(model.score(texts) >= threshold))
+        trim()
 
     return df.mapInArrow(run, df.schema)
