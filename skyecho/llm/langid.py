@@ -10,13 +10,15 @@ Texts become letter codes first: lower case, every run of other characters one
 separator. Codes are parsed in blocks of ``BLOCK`` (a phrase ends with its
 block), many blocks and all languages at once: a look-up moves every lane a
 character on. Most states of an automaton lead on by one letter only; that one
-stands beside the state, and the others in one sorted array.
+stands beside the state. The others have a short row for the most frequent
+letters, and rarer ones are in one sorted array.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from skyecho.llm.common import blocks, clashing, enter, small_batches
 
 BLOCK = 1024
+#: Codes, the most frequent ones, that have a place in the rows of states that lead on by several letters.
+FREQUENT = 32
 UNDETERMINED = "und"
 
 
@@ -108,36 +112,40 @@ class Model:
         self.languages, self.codes, self.log_length = languages, codes, np.array(log_length)
         self.start = np.cumsum([0, *map(len, automata)])[:-1]
         states = sum(map(len, automata))
-        #: A state's first letter (-1: none) and where it leads, whether it has more, and from each start by letter (-1: nowhere).
+        #: A state's first letter (-1: none) and where it leads, its row if it has more, and from each start by letter (-1: nowhere).
         self.letter, self.lead = np.full(states, -1, np.int32), np.zeros(states, np.int32)
-        self.more = np.zeros(states, bool)
+        self.row = np.full(states, -1, np.int32)
         self.begin = np.full((len(automata), codes.size), -1, np.int32)
-        keys: list[int] = []
-        values: list[int] = []
+        several = [base + state for base, to in zip(self.start.tolist(), automata, strict=True) for state, own in enumerate(to) if len(own) > 1]
+        self.row[several] = np.arange(len(several))
+        self.rows = np.full((len(several) + 1) * FREQUENT, -1, np.int32)
+        rare: list[tuple[int, int]] = []
         for k, (base, to) in enumerate(zip(self.start.tolist(), automata, strict=True)):
             for c, there in to[0].items():
                 self.begin[k, c] = base + there
             for state, own in enumerate(to, base):
-                rest = iter(own.items())
-                for c, there in rest:
-                    self.letter[state], self.lead[state] = c, base + there
-                    break
-                for c, there in rest:
-                    self.more[state] = True
-                    keys.append(state * codes.size + c)
-                    values.append(base + there)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.values = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(values, np.int32)[order], 0)
+                for c, there in own.items():
+                    if self.letter[state] < 0:
+                        self.letter[state], self.lead[state] = c, base + there
+                    elif c < FREQUENT:
+                        self.rows[self.row[state] * FREQUENT + c] = base + there
+                    else:
+                        rare.append((state * codes.size + c, base + there))
+        rare.sort()
+        self.keys = np.array([x[0] for x in rare] + [np.iinfo(np.int64).max], np.int64)
+        self.values = np.array([x[1] for x in rare] + [0], np.int32)
 
     def step(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Where each lane (languages by blocks) gets with its block's letter, -1 for nowhere."""
-        hit = self.letter[at] == codes
-        to = np.where(hit, self.lead[at], -1)
-        if (open_ := ~hit & self.more[at]).any():
-            key = at[open_].astype(np.int64) * self.codes.size + np.broadcast_to(codes, at.shape)[open_]
+        row = self.row[at]
+        # A state without a row reads the spare last one, which leads nowhere.
+        to = self.rows[np.where(row < 0, len(self.rows) // FREQUENT - 1, row) * FREQUENT + np.minimum(codes, FREQUENT - 1)]
+        if (seldom := codes >= FREQUENT).any():
+            own = at[:, seldom]
+            key = own.astype(np.int64) * self.codes.size + codes[seldom]
             place = np.searchsorted(self.keys, key)
-            to[open_] = np.where(self.keys[place] == key, self.values[place], -1)
-        return to
+            to[:, seldom] = np.where(self.keys[place] == key, self.values[place], -1)
+        return np.where(self.letter[at] == codes, self.lead[at], to)
 
     def phrases(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
@@ -177,14 +185,14 @@ class Model:
         return np.where(none, -1, best), np.where(none, 0.0, score)
 
 
-def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", codes_per_language: int = 131_072) -> Model | None:
+def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", codes_per_language: int = 65_536) -> Model | None:
     """A model of the rows where ``learn`` holds and the language isn't null; None if there are none.
 
     The bound of what is learned from: of each language whole texts, in the order of the
     hash of ``key`` (ties by key and text), as long as they have ``codes_per_language``
     characters together; a longer text is passed over, but for the shortest of a language
     that has no other. Every letter of those texts has a code of its own. The model takes about
-    2 x characters x 30 bytes a language.
+    characters x 100 bytes a language.
     """
     own = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text, F.col(key).alias("_key"), F.length(text).cast("long").alias("_len"))
     sums = own.groupBy(lang).agg(F.sum(F.when(F.col("_len") <= codes_per_language, F.col("_len") + 1)).alias("n"), F.min("_len").alias("least")).collect()  # a row per language
@@ -201,7 +209,8 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     texts: dict[str, list[str]] = {}
     for r in taken.select(lang, text, "_n").orderBy(lang, "_n").collect():  # of bounded length
         texts.setdefault(r[lang], []).append(r[text])
-    codes = Codes("".join(sorted({c for own in texts.values() for t in own for c in t.lower() if unicodedata.category(c)[0] == "L"})))
+    seen = Counter(c for own in texts.values() for t in own for c in t.lower() if unicodedata.category(c)[0] == "L")
+    codes = Codes("".join(sorted(seen, key=lambda c: (-seen[c], c))))  # frequent ones first
     table = codes.table()
     languages, automata, lengths = [], [], []
     for language in sorted(texts):
