@@ -90,16 +90,18 @@ def wet_spell(df: DataFrame, keys: Sequence[str] = (), mode: str = REFERENCE, fr
 
 def rain_over_percentile(df: DataFrame, q: float, name: str, keys: Sequence[str] = (), base: tuple[date, date] = BASE, mode: str = REFERENCE, freq: str = "1Y") -> DataFrame:
     """``reference``: a daily flag of more rain than the percentile of all days of the base period;
-    ``standard``: the rain of days above the percentile of its wet days, by period."""
-    inside = df.where(F.col("d").between(*map(F.lit, base)))
-    if is_reference(mode):
-        limit = inside.groupBy(*keys).agg(F.percentile("pcp", F.lit(q)).alias("_p"))
-    else:
-        limit = inside.where(F.col("pcp") >= WET).groupBy(*keys).agg(F.percentile("pcp", F.lit(q)).alias("_p"))
-    if keys:
-        joined = df.join(limit, list(keys), "left")
-    else:  # one number for all
-        joined = df.withColumn("_p", limit.select("_p").scalar())
+    ``standard``: the rain of days above the percentile of its wet days, by period.
+
+    The percentile may be a day's own value, which isn't above itself. So limit and rain are one reading of the
+    table (a window, no join): sums of doubles differ in the last digits where they are computed twice. Rows
+    without a key have no limit; without ``keys`` the table is one window."""
+    counted = F.col("d").between(*map(F.lit, base))
+    if not is_reference(mode):
+        counted &= F.col("pcp") >= WET
+    limit = F.percentile(F.when(counted, F.col("pcp")), F.lit(q)).over(Window.partitionBy(*keys))
+    for k in keys:
+        limit = F.when(F.col(k).isNotNull(), limit)
+    joined = df.withColumn("_p", limit)
     if is_reference(mode):
         flag = F.when(F.col("_p").isNotNull(), F.when((F.col("pcp") > F.col("_p")) & (F.col("pcp") > WET_REFERENCE), 1).otherwise(0))
         return _flags(joined, flag, keys, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date, timedelta
 
 import numpy as np
@@ -137,6 +138,26 @@ def test_runs(spark):
     assert indices.dry_spell(df).first().cdd == 3
 
 
+@pytest.mark.parametrize("keys", [("station",), ()])
+def test_rain_at_its_own_percentile(spark, keys):
+    """The second wettest of 21 days is the limit itself, also if the last digits change with every reading."""
+    unsteady = F.udf(lambda x: x * (1 + random.random() * 1e-12), "double").asNondeterministic()
+    stations = [f"s{i}" for i in range(20)] if keys else ["s0"]
+    rain = {**{day(i): 10.0 * (i + 1) for i in range(21)}, day(30): 1000.0}
+    rows = [(s, d, v) for s in [*stations, *([None] if keys else [])] for d, v in rain.items()] + ([("late", day(30), 5.0)] if keys else [])
+    df = spark.createDataFrame(rows, "station string, d date, pcp double").withColumn("pcp", unsteady("pcp"))
+    base = (day(0), day(20))
+    flags = indices.rain_over_percentile(df, 0.95, "r", keys, base).collect()
+    assert len(flags) == len(rows)
+    total = indices.rain_over_percentile(df, 0.95, "r", keys, base, "standard").collect()
+    if keys:  # no limit without a station or a day of the base period
+        assert {r.r for r in flags if r.station in (None, "late")} == {None}
+        assert {r.r for r in total if r.station in (None, "late")} == {0}
+        flags, total = ([r for r in x if r.station in stations] for x in (flags, total))
+    assert sorted(r.d for r in flags if r.r == 1) == sorted([day(20), day(30)] * len(stations))
+    assert [r.r for r in total] == pytest.approx([1210.0] * len(stations))
+
+
 def test_skill(spark):
     rows = list(zip(range(5), [1, 2, 3, 4, None], [2, 2, 2, 6, 1], [0, 2, 5, 4, 1], strict=True))
     obs = spark.createDataFrame([(day(i), None if o is None else float(o)) for i, o, _, _ in rows], "d date, value double")
